@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import metric_queries
+from tessera.plans import metric_queries, text_queries
 
-_MODULES = [metric_queries]
+_MODULES = [metric_queries, text_queries]
 
 
 def queries() -> dict:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 # Defaults for local runs; a cluster deployment passes its own through ``extra``.
 LOCAL_CONF = {
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
