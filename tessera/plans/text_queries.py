@@ -61,7 +61,7 @@ ch_l AS (SELECT doc_id, source,
   list_transform(range(0, len(words), 450), lambda s: array_to_string(words[s + 1:s + 500], ' ')) AS cs
   FROM ch_w),
 ch_u AS (SELECT doc_id, source, generate_subscripts(cs, 1) - 1 AS chunk, unnest(cs) AS text FROM ch_l),
-chunks AS (SELECT doc_id::VARCHAR || '-' || chunk::VARCHAR AS chunk_id, doc_id, source,
+chunks AS MATERIALIZED (SELECT doc_id::VARCHAR || '-' || chunk::VARCHAR AS chunk_id, doc_id, source,
   CAST(chunk AS INTEGER) AS chunk, text FROM ch_u)"""
 SQL_DOC_SENTENCES = f"""se_l AS (SELECT doc_id, source, {SQL_SENTENCES.format(t='text')} AS ss FROM documents),
 doc_sentences AS (SELECT doc_id, source, CAST(generate_subscripts(ss, 1) - 1 AS INTEGER) AS pos,
