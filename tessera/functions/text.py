@@ -61,21 +61,23 @@ def preview(c, n: int = 300) -> Column:
     return F.concat(F.substring(strip_ws(F.regexp_replace(col(c), WS_RUN, " ")), 1, n), F.lit("..."))
 
 
-def python_title(c) -> Column:
-    """Python ``str.title()``: a cased letter is upper-cased when the previous
-    character is not a cased letter, lower-cased otherwise (so 'x2y' -> 'X2Y',
-    unlike Spark's ``initcap``)."""
-    chars = F.split(col(c), "")
+def title_chars(filename) -> Column:
+    """S8 step 1: strip '.txt', '_' -> ' ', split into characters."""
+    base = F.replace(F.replace(col(filename), F.lit(".txt"), F.lit("")), F.lit("_"), F.lit(" "))
+    return F.split(base, "")
+
+
+def python_title_chars(chars) -> Column:
+    """Python ``str.title()`` over a character array: a cased letter is
+    upper-cased when the previous character is not a cased letter, else
+    lower-cased (so 'x2y' -> 'X2Y', unlike Spark's ``initcap``).  Pass a
+    column reference: the array is indexed inside the lambda."""
+    ch_arr = col(chars)
     return F.array_join(
         F.transform(
-            chars,
-            lambda ch, i: F.when((i == 0) | ~F.element_at(chars, i).rlike(CASED), F.upper(ch))
+            ch_arr,
+            lambda ch, i: F.when((i == 0) | ~F.element_at(ch_arr, i).rlike(CASED), F.upper(ch))
             .otherwise(F.lower(ch)),
         ),
         "",
     )
-
-
-def title_from_filename(c) -> Column:
-    """Strip '.txt', '_' -> ' ', title case."""
-    return python_title(F.replace(F.replace(col(c), F.lit(".txt"), F.lit("")), F.lit("_"), F.lit(" ")))

@@ -69,16 +69,39 @@ def judge_sql(c, spark_words: bool = True) -> Column:
     return F.struct((reason == REASON_OK).alias("valid"), reason.alias("reason"))
 
 
-def audit(df: DataFrame, sql="sql") -> DataFrame:
-    """G1 + G2 over a table of generated statements."""
-    cleaned = clean_sql(sql)
-    verdict = judge_sql(cleaned)
-    return df.select(
-        "*", cleaned.alias("cleaned_sql"), discarded_prefix(sql).alias("discarded_prefix"),
-        verdict["valid"].alias("valid"), verdict["reason"].alias("reason"),
+def _clean_frame(df: DataFrame, src: str, out: str, prefix_out: str) -> DataFrame:
+    """G1 as a chain of projections: each intermediate is a column, so the
+    regexes run once per row instead of once per reference in a nested tree."""
+    word = r"(?i)\b(?:SELECT|WITH)\b"
+    return (
+        df.withColumn("_s1", strip_ws(src))
+        .withColumn("_s2", F.when(F.col("_s1").rlike(FENCE), strip_ws(F.regexp_extract("_s1", FENCE, 1)))
+                    .otherwise(F.col("_s1")))
+        .withColumn("_hw", F.col("_s2").rlike(word))
+        .withColumn(prefix_out, F.when(F.col("_hw"), F.regexp_extract("_s2", LEAD, 1)).otherwise(F.lit("")))
+        .withColumn(out, strip_ws(F.regexp_replace(
+            F.when(F.col("_hw"), F.substring(F.col("_s2"), F.length(prefix_out) + 1, 1 << 30))
+            .otherwise(F.col("_s2")), r";+\z", "")))
+        .drop("_s1", "_s2", "_hw")
     )
 
 
+def audit(df: DataFrame, sql="sql", spark_words: bool = True) -> DataFrame:
+    """G1 + G2 over a table of generated statements: cleaned_sql,
+    discarded_prefix, valid, reason (the judge cleans once more, as the
+    reference's validator does)."""
+    x = _clean_frame(df, sql, "cleaned_sql", "discarded_prefix")
+    x = _clean_frame(x, "cleaned_sql", "_judged", "_p2")
+    s = F.col("_judged")
+    words = BLOCKED_WORDS + (SPARK_BLOCKED_WORDS if spark_words else [])
+    reason = F.when(~s.rlike(r"(?i)^(?:SELECT|WITH)\b"), F.lit(REASON_NOT_SELECT)).when(
+        s.contains(";"), F.lit(REASON_MULTI))
+    for w in words:
+        reason = reason.when(s.rlike(rf"(?i)\b{w}\b"), F.lit(REASON_BLOCKED + w))
+    reason = reason.otherwise(F.lit(REASON_OK))
+    return x.withColumn("reason", reason).withColumn("valid", F.col("reason") == REASON_OK).drop("_judged", "_p2")
+
+
 @dataclass
 class GuardedResult:
     status: str  # PASSED / FAILED / ERROR

@@ -20,9 +20,12 @@ CHUNK_OVERLAP = 50
 def chunk_documents(docs: DataFrame, key="doc_id", text="text", source="source",
                     size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """D1 + D2 + D4: one row per chunk with id 'key-i', source and 0-based index."""
+    # words are materialised in their own projection: referenced inside the
+    # window lambda they would otherwise be re-split for every chunk.
     return docs.select(
-        F.col(key).alias("_key"), F.col(source).alias("source"),
-        F.posexplode(T.word_windows(T.words(text), size, overlap)).alias("chunk", "text"),
+        F.col(key).alias("_key"), F.col(source).alias("source"), T.words(text).alias("_words"),
+    ).select(
+        "_key", "source", F.posexplode(T.word_windows("_words", size, overlap)).alias("chunk", "text"),
     ).select(
         F.concat_ws("-", F.col("_key").cast("string"), F.col("chunk").cast("string")).alias("chunk_id"),
         F.col("_key").alias(key), "source", F.col("chunk").cast("int").alias("chunk"), "text",
@@ -54,10 +57,8 @@ def chunk_previews(chunks: DataFrame, text="text", n: int = 300) -> DataFrame:
 def document_table(docs: DataFrame, filename="filename", text="text") -> DataFrame:
     """Filename, title from the filename, trimmed content."""
     return docs.select(
-        F.col(filename).alias("filename"),
-        T.title_from_filename(filename).alias("title"),
-        T.strip_ws(text).alias("content"),
-    )
+        F.col(filename).alias("filename"), T.title_chars(filename).alias("_chars"), F.col(text).alias("_t"),
+    ).select("filename", T.python_title_chars("_chars").alias("title"), T.strip_ws("_t").alias("content"))
 
 
 def dedup_sentences(sents: DataFrame, group="source", order=("doc_id", "pos"), sentence="sentence") -> DataFrame:
