@@ -1,7 +1,7 @@
 """Text expressions (D1, D2, D6, D8, S8 helpers), all built-in Spark functions.
 
-Java regexes are ASCII by default; ``(?U)`` makes ``\\s`` Unicode-aware like
-Python's ``str.split()`` / ``strip()`` (Spark's ``trim`` strips spaces only).
+Whitespace is Python's set (``str.isspace``), spelled out for Java regexes and
+for Spark's character-set ``trim``, so ``split()`` / ``strip()`` agree exactly.
 """
 
 from __future__ import annotations
@@ -11,16 +11,23 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import col
 
-WS_RUN = r"(?U)\s+"
-EDGE_WS = r"(?U)^\s+|\s+$"
+# Python's whitespace (``str.isspace``), used by ``split()`` and
+# ``strip()``.  Java's ``\s`` (even with ``(?U)``) is a different set.
+PY_WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+WS_CLASS = r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+WS_RUN = WS_CLASS + "+"
 # Sentence boundary: after . ! ? followed by whitespace, or at newline runs.
-SENTENCE_BOUNDARY = r"(?U)(?<=[.!?])\s+|\n+"
+SENTENCE_BOUNDARY = r"(?<=[.!?])" + WS_RUN + r"|\n+"
 CASED = r"[\p{Lu}\p{Ll}\p{Lt}]"
 
 
 def strip_ws(c) -> Column:
-    """Python ``str.strip()``: remove leading/trailing (Unicode) whitespace."""
-    return F.regexp_replace(col(c), EDGE_WS, "")
+    """Python ``str.strip()``: remove leading/trailing whitespace (a plain
+    character-set trim, no regex)."""
+    return F.trim(col(c), F.lit(PY_WHITESPACE))
 
 
 def words(c) -> Column:

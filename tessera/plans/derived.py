@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import month_text, pct, quarter_index, quarter_label_from_index
-from tessera.sources.tables import Tables, bounded_broadcast
+from tessera.sources.tables import Tables, is_bounded
 
 DIMENSION_MAX_ROWS = 10_000
 
@@ -21,13 +21,15 @@ DIMENSION_MAX_ROWS = 10_000
 def customer_region(t: Tables) -> DataFrame:
     """custkey -> region name.  nation/region are dimension tables with a
     checked bound, so they broadcast; customer joins them map-side."""
-    geo = (
-        bounded_broadcast(t.nation.select("n_nationkey", "n_regionkey"), DIMENSION_MAX_ROWS)
-        .join(bounded_broadcast(t.region.select("r_regionkey", "r_name"), DIMENSION_MAX_ROWS),
-              F.col("n_regionkey") == F.col("r_regionkey"))
-        .select("n_nationkey", F.col("r_name").alias("region"))
-    )
-    geo = bounded_broadcast(geo, DIMENSION_MAX_ROWS)
+    nation = t.nation.select("n_nationkey", "n_regionkey")
+    region = t.region.select("r_regionkey", "r_name")
+    small = (is_bounded(nation, DIMENSION_MAX_ROWS, f"{t.sf_dir}/nation")
+             and is_bounded(region, DIMENSION_MAX_ROWS, f"{t.sf_dir}/region"))
+    # nation x region on the region key has at most as many rows as nation.
+    geo = nation.join(F.broadcast(region) if small else region,
+                      F.col("n_regionkey") == F.col("r_regionkey")).select(
+        "n_nationkey", F.col("r_name").alias("region"))
+    geo = F.broadcast(geo) if small else geo
     return (
         t.customer.select("c_custkey", "c_nationkey")
         .join(geo, F.col("c_nationkey") == F.col("n_nationkey"))

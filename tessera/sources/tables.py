@@ -25,14 +25,27 @@ def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only when it provably holds at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows; above the bound the frame is
-    returned unchanged and the planner (AQE included) picks a shuffle join.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+_BOUND_CHECKS: dict = {}
+
+
+def is_bounded(df: DataFrame, max_rows: int, cache_key: str | None = None) -> bool:
+    """True when ``df`` provably holds at most ``max_rows`` rows (reads at
+    most ``max_rows + 1`` rows).  ``cache_key`` (e.g. a table path) reuses an
+    earlier check of the same immutable input within the session."""
+    key = (id(df.sparkSession), cache_key, max_rows) if cache_key else None
+    if key is not None and key in _BOUND_CHECKS:
+        return _BOUND_CHECKS[key]
+    small = df.limit(max_rows + 1).count() <= max_rows
+    if key is not None:
+        _BOUND_CHECKS[key] = small
+    return small
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int, cache_key: str | None = None) -> DataFrame:
+    """Broadcast ``df`` only when it provably holds at most ``max_rows`` rows;
+    above the bound the frame is returned unchanged and the planner (AQE
+    included) picks a shuffle join."""
+    return F.broadcast(df) if is_bounded(df, max_rows, cache_key) else df
 
 
 class Tables:
