@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import metric_queries, ops_queries, retrieval_queries, text_queries
+from tessera.plans import io_queries, metric_queries, ops_queries, retrieval_queries, text_queries
 
-_MODULES = [metric_queries, text_queries, retrieval_queries, ops_queries]
+_MODULES = [metric_queries, text_queries, retrieval_queries, ops_queries, io_queries]
 
 
 def queries() -> dict:

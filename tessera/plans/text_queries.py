@@ -27,7 +27,8 @@ def previews(spark: SparkSession, sf: str) -> DataFrame:
 
 def document_filename() -> F.Column:
     """File name a document would have on disk: '<source>_<lang>_<doc_id>.txt'."""
-    return F.concat_ws("_", "source", "lang", F.col("doc_id").cast("string")).alias("filename")
+    return F.concat(F.concat_ws("_", "source", "lang", F.col("doc_id").cast("string")), F.lit(".txt")).alias(
+        "filename")
 
 
 def document_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -84,7 +85,7 @@ FROM cl""",
     "previews": rf"""WITH {SQL_CHUNKS}
 SELECT chunk_id, substring(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'), 1, 300)
   || '...' AS preview FROM chunks""",
-    "document_table": rf"""WITH f AS (SELECT source || '_' || lang || '_' || doc_id::VARCHAR AS filename, text
+    "document_table": rf"""WITH f AS (SELECT source || '_' || lang || '_' || doc_id::VARCHAR || '.txt' AS filename, text
   FROM documents),
 t AS (SELECT filename, replace(replace(filename, '.txt', ''), '_', ' ') AS base, text FROM f)
 SELECT filename, {SQL_TITLE.format(s='base')} AS title,
