@@ -23,7 +23,7 @@ CUSTOMER_REGION = """cr AS (
 LINES_PER_ORDER = """lpo AS (
   SELECT l_orderkey,
     SUM(CAST(l_extendedprice AS DECIMAL(15,2)) * (1 - CAST(l_discount AS DECIMAL(15,2)))) AS line_revenue,
-    SUM(CAST(l_discount AS DECIMAL(15,2))) AS discount_sum,
+    SUM(CAST(l_discount AS DECIMAL(15,2))) * 100 AS discount_pct_sum,
     COUNT(*) AS lines,
     COUNT(*) FILTER (WHERE l_returnflag = 'R') AS returned_lines,
     COUNT(*) FILTER (WHERE l_linestatus = 'F') AS closed_lines,
@@ -39,7 +39,7 @@ REGIONAL_REVENUE = f"""{ORDERS_ENRICHED},
 rr AS (
   SELECT strftime(o_orderdate, '%Y-%m') AS month, 'Q' || quarter(o_orderdate)::VARCHAR AS quarter, region,
     SUM(line_revenue) AS revenue_usd, COUNT(*) AS orders,
-    {pct('SUM(discount_sum)', 'SUM(lines)', None)} AS gross_margin_pct
+    CAST(SUM(discount_pct_sum) AS DOUBLE) / NULLIF(CAST(SUM(lines) AS DOUBLE), 0.0) AS gross_margin_pct
   FROM oe GROUP BY 1, 2, 3)"""
 
 SALES_CUSTOMER_SUCCESS = f"""{ORDERS_ENRICHED},

@@ -12,11 +12,42 @@ TABLES = (
 )
 
 
+# Tables whose rows carry CPU-heavy per-row work (regexes, tokenising,
+# hashing) before any shuffle.
+CPU_HEAVY_TABLES = {"documents", "conversations", "events", "pages"}
+SMALL_INPUT_BYTES_PER_CORE = 64 * 1024 * 1024
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Scan one driver table; Catalyst prunes columns and pushes filters."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread_small_input(df) if name in CPU_HEAVY_TABLES else df
+
+
+def spread_small_input(df: DataFrame) -> DataFrame:
+    """Minimum parallelism for CPU-heavy row work on a *small* input.
+
+    A parquet file is split by row groups, so a few small files can give one
+    non-empty task.  Only when the input is fewer files than cores and under
+    ``cores x 64 MB`` is it spread round-robin (a shuffle of at most that
+    much); a large input already has its natural split parallelism and is
+    returned untouched, so at scale this adds no shuffle."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files or len(files) >= cores or df.rdd.getNumPartitions() >= cores * 4:
+        return df
+    jvm = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    total = 0
+    for f in files:
+        path = jvm.org.apache.hadoop.fs.Path(f)
+        total += path.getFileSystem(conf).getFileStatus(path).getLen()
+    if total >= cores * SMALL_INPUT_BYTES_PER_CORE:
+        return df
+    return df.repartition(cores)
 
 
 def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
