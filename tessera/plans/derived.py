@@ -133,9 +133,11 @@ def customer_churn(t: Tables) -> DataFrame:
     classifies every (customer, quarter) once.  The last quarter has no
     successor and is left out.  beginning/ending come from the F2 roll-forward.
     """
-    act = active_customer_periods(t)
-    nxt = act.select("cust", (F.col("qidx") - 1).alias("qidx"), F.lit(True).alias("_next"))
-    cur = act.select("cust", "qidx", F.lit(True).alias("_cur"))
+    # Each side is de-duplicated on the key it joins on, so both aggregates'
+    # hash partitioning on (cust, qidx) feeds the join without a re-shuffle.
+    cur = active_customer_periods(t).select("cust", "qidx", F.lit(True).alias("_cur"))
+    nxt = (t.orders.select(F.col("o_custkey").alias("cust"), (quarter_index("o_orderdate") - 1).alias("qidx"))
+           .distinct().select("cust", "qidx", F.lit(True).alias("_next")))
     moves = (
         cur.join(nxt, ["cust", "qidx"], "full_outer")
         .groupBy("qidx")
