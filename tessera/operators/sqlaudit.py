@@ -143,36 +143,51 @@ def explanation_rows(df: DataFrame, n: int = PREVIEW_ROWS) -> DataFrame:
     return df.limit(n)
 
 
-def profile(df: DataFrame, table: str, exact: bool = True) -> DataFrame:
-    """Per column rows, nulls and distinct values, in one aggregate pass.
-
-    Exact distinct counts of strings are taken over their 16-byte md5
-    (distinct up to collisions, ~1e-21 at 1e9 values), so the distinct step
-    shuffles digests instead of whole texts.  ``exact=False`` uses HyperLogLog
-    (``approx_count_distinct``): no value shuffle at all, the choice for
-    tables far beyond memory."""
-    cols = df.columns
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    for i, c in enumerate(cols):
-        aggs.append(F.count_if(F.col(c).isNull()).alias(f"_n{i}"))
-        v = F.col(c)
-        if exact and isinstance(df.schema[c].dataType, T.StringType):
-            v = F.unhex(F.md5(v))
-        d = F.count_distinct(v) if exact else F.approx_count_distinct(v)
-        aggs.append(d.alias(f"_d{i}"))
-    one = df.agg(*aggs)
-    stack = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("column_position"), F.lit(c).alias("column_name"),
-                 F.col(f"_n{i}").alias("null_values"), F.col(f"_d{i}").cast("long").alias("distinct_values"))
-        for i, c in enumerate(cols)]))
-    return one.select(F.lit(table).alias("table_name"), F.col("_rows").alias("row_count"), stack.alias("p")).select(
-        "table_name", "p.column_position", "p.column_name", "row_count", "p.null_values", "p.distinct_values")
+def _distinct_value(df: DataFrame, c: str) -> Column:
+    """Value identity for exact distinct counting: strings by their 16-byte
+    md5 (distinct up to collisions, ~1e-21 at 1e9 values), others as is."""
+    if isinstance(df.schema[c].dataType, T.StringType):
+        return F.unhex(F.md5(F.col(c)))
+    return F.col(c)
 
 
 def profile_tables(frames: dict, exact: bool = True) -> DataFrame:
-    """G5 over several tables: the per-table profiles, unioned into one job."""
-    out = None
+    """Per table and column, rows, nulls and distinct values.
+
+    Rows and nulls: one plain aggregate per table.  Exact distinct counts: one
+    single-column de-duplication per column (partial aggregate map-side, so a
+    hot value collapses per task), unioned.  Parquet is columnar, so the
+    per-column branches together read the same bytes as one scan, without the
+    rows-times-columns expansion a multi-distinct aggregate needs, and the
+    branches run in parallel.  ``exact=False``: HyperLogLog in the first
+    aggregate, no value shuffle at all."""
+    stats, distinct = None, None
     for name, df in frames.items():
-        p = profile(df, name, exact)
-        out = p if out is None else out.unionByName(p)
-    return out
+        cols = df.columns
+        agg = df.agg(F.count(F.lit(1)).alias("_rows"),
+                     *[F.count_if(F.col(c).isNull()).alias(f"_n{i}") for i, c in enumerate(cols)],
+                     *([] if exact else [F.approx_count_distinct(F.col(c)).alias(f"_d{i}")
+                                         for i, c in enumerate(cols)]))
+        stack = F.explode(F.array(*[
+            F.struct(F.lit(i).alias("column_position"), F.lit(c).alias("column_name"),
+                     F.col(f"_n{i}").alias("null_values"),
+                     (F.col(f"_d{i}").cast("long") if not exact else F.lit(None).cast("long")).alias("_approx"))
+            for i, c in enumerate(cols)]))
+        st = agg.select(F.lit(name).alias("table_name"), F.col("_rows").alias("row_count"), stack.alias("p")).select(
+            "table_name", "p.column_position", "p.column_name", "row_count", "p.null_values", "p._approx")
+        stats = st if stats is None else stats.unionByName(st)
+        if exact:
+            for i, c in enumerate(cols):
+                d = df.select(F.count_distinct(_distinct_value(df, c)).alias("distinct_values")).select(
+                    F.lit(name).alias("table_name"), F.lit(i).alias("column_position"), "distinct_values")
+                distinct = d if distinct is None else distinct.unionByName(d)
+    if not exact:
+        return stats.withColumnRenamed("_approx", "distinct_values")
+    return stats.drop("_approx").join(distinct, ["table_name", "column_position"]).select(
+        "table_name", "column_position", "column_name", "row_count", "null_values",
+        F.col("distinct_values").cast("long").alias("distinct_values"))
+
+
+def profile(df: DataFrame, table: str, exact: bool = True) -> DataFrame:
+    """G5 for one table (see ``profile_tables``)."""
+    return profile_tables({table: df}, exact)
