@@ -5,18 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONEY = "decimal(18,2)"
-
-
 def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def money(c) -> Column:
-    """Money as exact DECIMAL so sums do not depend on partition order."""
-    return col(c).cast(MONEY)
-
-
 def pct(num, den, digits: int | None = 2) -> Column:
     """100 * num / den in double; NULL when den is 0 or NULL (SQL NULLIF)."""
     v = F.lit(100.0) * col(num).cast("double") / F.nullif(col(den).cast("double"), F.lit(0.0))
@@ -43,10 +35,6 @@ def quarter_index(ts) -> Column:
     return F.year(col(ts)) * 4 + F.quarter(col(ts)) - 1
 
 
-def quarter_label(ts) -> Column:
-    return F.concat(F.year(col(ts)).cast("string"), F.lit("-Q"), F.quarter(col(ts)).cast("string"))
-
-
 def quarter_label_from_index(qidx) -> Column:
     q = col(qidx)
     return F.concat(F.floor(q / 4).cast("string"), F.lit("-Q"), (F.pmod(q, F.lit(4)) + 1).cast("string"))

@@ -7,7 +7,6 @@ read what they need (checkpoint folder) from whatever session they are given.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -81,6 +80,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
 
-
-def env_sf_dir(default: str = "/root/testdata/sf0.1") -> str:
-    return os.environ.get("BENCH_SF_DIR", default)

@@ -120,3 +120,14 @@ def test_profile(spark, exact):
     out = {r["column_name"]: r for r in G.profile(df, "t", exact=exact).collect()}
     assert out["x"]["row_count"] == 3 and out["y"]["null_values"] == 1
     assert out["x"]["distinct_values"] == 2 and out["y"]["distinct_values"] == 1
+
+
+def test_guarded_statement_over_registered_tables(spark):
+    from tessera.sources.tables import register_views
+
+    register_views(spark, "/root/testdata/sf0.001", ["orders", "customer"])
+    res = G.run_guarded(spark, "Here you go: SELECT c_mktsegment, COUNT(*) AS n FROM orders "
+                               "JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment;")
+    assert res.status == "PASSED" and res.columns == ["c_mktsegment", "n"]
+    total = sum(r["n"] for r in res.rows.collect())
+    assert total == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
