@@ -54,3 +54,26 @@ def test_all_queries_match_oracle_sf0001(spark):
     bad = [n for n in qs if n in oracle and not compare(n, qs[n](spark, "/root/testdata/sf0.001"), con, oracle[n])]
     assert bad == []
     assert E.entry(spark).count() > 0
+
+
+@pytest.mark.slow
+def test_entry_from_foreign_working_directory(tmp_path):
+    """Executors must import the package even when the driver runs elsewhere
+    with a plain session (the package is shipped with addPyFile)."""
+    import subprocess
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import importlib.util
+spec = importlib.util.spec_from_file_location("__spark_entry__", {os.path.join(repo, '__spark_entry__.py')!r})
+E = importlib.util.module_from_spec(spec); spec.loader.exec_module(E)
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+assert E.entry(spark).count() > 0
+assert E.queries()["hashed_vectors"](spark, "/root/testdata/sf0.001").count() > 0
+print("OK")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    r = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True,
+                       timeout=600)
+    assert r.returncode == 0 and "OK" in r.stdout, r.stderr[-2000:]
