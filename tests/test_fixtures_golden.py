@@ -91,3 +91,21 @@ def test_m13_rollup_levels(spark):
     assert levels == [0, 1, 3]
     total = [r for r in out if r["grouping_level"] == 3][0]
     assert total["revenue_usd"] == 4370000.0 + 3772000.0 + 3588000.0 + 3220000.0
+
+
+def test_m4_m5_m6_on_f1_against_python(spark):
+    rows = [r.asDict() for r in FX.regional_revenue(spark).collect()]
+    north = sorted((r for r in rows if r["region"] == "North"), key=lambda r: r["month"])
+    # M4: revenue-weighted margin beside the plain mean
+    wm = {r["region"]: r for r in M.weighted_margin(FX.regional_revenue(spark)).collect()}["North"]
+    rev = [r["revenue_usd"] for r in north]
+    mar = [r["gross_margin_pct"] for r in north]
+    assert wm["weighted_margin_pct"] == round(sum(a * b for a, b in zip(rev, mar)) / sum(rev), 4)
+    assert wm["plain_margin_pct"] == round(sum(mar) / len(mar), 4)
+    # M5: month over month growth per region
+    g = {(r["region"], r["month"]): r for r in M.revenue_growth(FX.regional_revenue(spark)).collect()}
+    assert g[("North", "2025-01")]["growth_pct"] is None
+    assert g[("North", "2025-02")]["growth_pct"] == round(100 * (rev[1] - rev[0]) / rev[0], 2)
+    # M6: revenue per order as a ratio of sums
+    op = {r["region"]: r for r in M.order_productivity(FX.regional_revenue(spark)).collect()}["North"]
+    assert op["revenue_per_order"] == round(sum(rev) / sum(r["orders"] for r in north), 2)
