@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, langid, simhash
+from tessera.llm import bpe, decontam, langid, simhash, toxicity
 from tessera.llm.common import remainder, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -38,6 +38,21 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
+    """Fitted on the labels of ids that may be learnt from."""
+    return toxicity.fit(docs, table(spark, sf_dir, "labels"), remainder(F.col("id"), 3) != 1)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score, verdict and offending offsets of every document."""
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.tag(F.col("text"), toxicity_model(spark, sf_dir, docs), spark)
+    held_out = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False))
+    scored = docs.select("doc_id", held_out.alias("held_out"), found.alias("found"))
+    predicted = (F.col("found.score") >= toxicity.THRESHOLD).cast("int")
+    return scored.select("doc_id", "held_out", "found.score", predicted.alias("predicted"), "found.spans")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: 3-word shingles, 3 bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, max_bits=3)
@@ -59,6 +74,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_decontamination": op2_decontamination,
+    "op7_toxicity": op7_toxicity,
     "op8_simhash": op8_simhash,
     "op10_language_id": op10_language_id,
 }
