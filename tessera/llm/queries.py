@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, langid, simhash, topk, toxicity
+from tessera.llm import bpe, decontam, langid, licenses, simhash, topk, toxicity
 from tessera.llm.common import remainder, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -79,6 +79,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, max_bits=3)
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases and license labels of every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def language_labels(docs: DataFrame) -> DataFrame:
     """Rows whose language may be learnt from."""
     return docs.where(remainder(F.col("doc_id"), 4) != 2).select(F.col("doc_id").alias("id"), "text", "lang")
@@ -98,6 +103,7 @@ QUERIES = {
     "op6_topk": op6_topk,
     "op7_toxicity": op7_toxicity,
     "op8_simhash": op8_simhash,
+    "op9_licenses": op9_licenses,
     "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {"op6_topk": OP6_SQL}
