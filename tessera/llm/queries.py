@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, langid, licenses, simhash, topk, toxicity
+from tessera.llm import bpe, decontam, langid, licenses, simhash, tokenscan, topk, toxicity
 from tessera.llm.common import remainder, table
+from tessera.session import scratch_path
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -38,6 +39,21 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, found again in flat token files that are written
+    from the documents (one id a word, and the document's id in front)."""
+    docs = table(spark, sf_dir, "documents")
+    path = scratch_path(spark, "token-files")
+    tokenscan.write_token_files(docs.select(tokenscan.word_tokens(F.col("doc_id"), F.col("text")).alias("tokens")), path)
+    found = tokenscan.count_tokens(spark, path, head=tokenscan.HEAD)
+    return found.select(tokenscan.head_id(F.col("head")).alias("doc_id"), (F.col("n_tokens") - tokenscan.HEAD).alias("n_tokens"))
+
+
+OP5_SQL = r"""
+SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS BIGINT) AS n_tokens FROM documents
+"""
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 best inner products of every hundredth vector with all others."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -100,10 +116,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_decontamination": op2_decontamination,
+    "op5_token_counts": op5_token_counts,
     "op6_topk": op6_topk,
     "op7_toxicity": op7_toxicity,
     "op8_simhash": op8_simhash,
     "op9_licenses": op9_licenses,
     "op10_language_id": op10_language_id,
 }
-ORACLE_SQL: dict[str, str] = {"op6_topk": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_token_counts": OP5_SQL, "op6_topk": OP6_SQL}
