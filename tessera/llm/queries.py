@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, langid, licenses, simhash, tokenscan, topk, toxicity
+from tessera.llm import bpe, decontam, langid, licenses, simhash, tokenscan, topk, toxicity, urlfilter
 from tessera.llm.common import remainder, table
 from tessera.session import scratch_path
 
@@ -39,6 +39,21 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The contract's rules, as text: host and path.
+URL_RULES = [
+    urlfilter.Rule("org", "/", "allow"),
+    urlfilter.Rule("example.org", "/es/", "block"),
+    urlfilter.Rule("example.org", "/en/1", "block"),
+    urlfilter.Rule("com", "/fr/", "allow"),
+    urlfilter.Rule("com", "/de/", "block"),
+]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url."""
+    return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, found again in flat token files that are written
     from the documents (one id a word, and the document's id in front)."""
@@ -116,6 +131,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_decontamination": op2_decontamination,
+    "op3_url_filter": op3_url_filter,
     "op5_token_counts": op5_token_counts,
     "op6_topk": op6_topk,
     "op7_toxicity": op7_toxicity,
