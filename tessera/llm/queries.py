@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, langid, licenses, simhash, tokenscan, topk, toxicity, urlfilter
+from tessera.llm import bpe, decontam, htmldiff, langid, licenses, simhash, tokenscan, topk, toxicity, urlfilter
 from tessera.llm.common import remainder, table
 from tessera.session import scratch_path
 
@@ -54,6 +54,12 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = htmldiff.main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_lines", "n_shared")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, found again in flat token files that are written
     from the documents (one id a word, and the document's id in front)."""
@@ -132,6 +138,7 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_decontamination": op2_decontamination,
     "op3_url_filter": op3_url_filter,
+    "op4_html_text": op4_html_text,
     "op5_token_counts": op5_token_counts,
     "op6_topk": op6_topk,
     "op7_toxicity": op7_toxicity,
