@@ -1,127 +1,101 @@
 """Approximate nearest neighbours (inverted lists), with recall against R1.
 
-The collection is partitioned into ``n_lists`` lists by MLlib KMeans (trained
-distributed, on the whole collection).  Each question probes its ``n_probe``
-nearest list centres; the collection scan (the same ``mapInPandas`` shape as
-the exact search) scores a row only against the questions that probe its list,
-so the work drops to about ``n_probe / n_lists`` of the exact scan.  No
-question x candidate pairs are materialised and nothing is grouped by list, so
-a list holding a third of the collection is still spread over every task.
-
-Locality-sensitive hashing was not used: candidate generation by shared
-buckets emits every pair inside a bucket, which a hot bucket turns quadratic.
-With ``n_probe == n_lists`` the search is exact (tests use this).
+``n_lists`` rows of the collection, chosen by the md5 of their key, are the list
+centres; every row belongs to its nearest centre.  The index is written once to
+shared storage, partitioned by list.  A question probes its ``n_probe`` nearest
+centres, and a search reads only the lists that its question block probes; rows
+are scored only against the questions that probe their list.  No question x
+candidate pairs are materialised and nothing is grouped by list, so a list that
+holds a third of the collection is still spread over many tasks.
+
+Both numbers are the caller's choice, since recall depends on them; with
+``n_probe == n_lists`` the search is exact (tests use this).  Centres and probes
+are exact distances with ties to the smaller list, so the result is the same on
+every run and engine.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.operators.knn import DEFAULT_MAX_BLOCK, _exact_l2, _matrix, _select
+from tessera.operators.knn import (DEFAULT_BLOCK_ROWS, MERGE_WAYS, _exact_l2, _matrix, best_rows, exact_l2_pairs,
+                                   l2_candidates, merged, question_blocks, usable)
+from tessera.session import scratch_path
+
+
+def nearest_lists(V: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
+    """The n nearest centres of every row, nearest first, ties to smaller lists."""
+    d = np.stack([_exact_l2(V, np.broadcast_to(c, V.shape)) for c in centres], axis=1)
+    return np.argsort(d, axis=1, kind="stable")[:, :n].astype(np.int32)
+
+
+def ivf_index(collection: DataFrame, ckey: str, vector: str, n_lists: int) -> tuple[DataFrame, np.ndarray]:
+    """Choose the centres (``n_lists`` rows: a bound the caller sets), write
+    (ckey, _v, _list) partitioned by list, and return it with the centres."""
+    spark = collection.sparkSession
+    rows = collection.select(ckey, F.col(vector).cast("array<double>").alias("_v")).filter(usable("_v"))
+    first = rows.orderBy(F.md5(F.col(ckey).cast("string")), ckey).limit(n_lists).collect()
+    centres = np.stack([np.asarray(r["_v"], dtype=np.float64) for r in first]) if first else np.zeros((0, 1))
+    shared = spark.sparkContext.broadcast(centres)
+
+    @F.pandas_udf("int")
+    def assign(vectors: pd.Series) -> pd.Series:
+        return pd.Series(nearest_lists(_matrix(vectors.to_numpy()), shared.value, 1)[:, 0] if len(vectors) else [])
 
-MAX_DEFAULT_PROBES = 64
+    path = scratch_path(spark, "ivf-index")
+    assigned = rows.withColumn("_list", assign("_v"))
+    assigned.write.partitionBy("_list").parquet(path)
+    return spark.read.schema(assigned.schema).parquet(path), centres
 
 
-def _make_ivf_scan(bq, k: int, ckey: str, exclude_self: bool):
+def _make_scan(bq, k: int, ckey: str, exclude_self: bool):
     def scan(batches):
         qkeys, Q, probes = bq.value  # probes: questions x n_probe list ids
-        qsq = np.einsum("ij,ij->i", Q, Q)
-        # invert once per task: list id -> questions probing it
-        flat = probes.ravel()
-        rows = np.repeat(np.arange(probes.shape[0]), probes.shape[1])
-        order = np.argsort(flat, kind="stable")
-        ids, starts = np.unique(flat[order], return_index=True)
-        bounds = dict(zip(ids.tolist(), zip(starts.tolist(), list(starts[1:]) + [len(flat)])))
-        no_q = np.zeros(0, dtype=np.int64)
         best = None
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
+            found = []
             pdf = pdf.sort_values(ckey, kind="stable")
-            keys = pdf[ckey].to_numpy()
-            C = _matrix(pdf["_v"].to_numpy(), None)
-            lists = pdf["_list"].to_numpy()
-            cands = []
-            for lst in np.unique(lists):
-                cols = np.nonzero(lists == lst)[0]
-                lo_hi = bounds.get(int(lst))
-                qi = np.sort(rows[order[lo_hi[0]:lo_hi[1]]]) if lo_hi else no_q
-                if len(qi) == 0:
+            for lst, part in pdf.groupby("_list", sort=True):
+                qi = np.flatnonzero((probes == lst).any(axis=1))
+                if not len(qi):
                     continue
-                Cl = C[cols]
-                S = qsq[qi, None] + np.einsum("ij,ij->i", Cl, Cl)[None, :] - 2.0 * (Q[qi] @ Cl.T)
-                if exclude_self:
-                    S = np.where(qkeys[qi, None] == keys[cols][None, :], np.inf, S)
-                r, c = np.nonzero(_select(S, min(k + 4, S.shape[1])))
-                d = _exact_l2(Q[qi[r]], Cl[c])
-                keep = np.isfinite(S[r, c])
-                cands.append(pd.DataFrame({"_qi": qi[r[keep]], "_key": keys[cols[c[keep]]], "_d": d[keep]}))
-            if cands:
-                best = pd.concat(([best] if best is not None else []) + cands, ignore_index=True)
-                best = best.sort_values(["_qi", "_d", "_key"], kind="stable").groupby("_qi", sort=False).head(k)
+                keys, C = part[ckey].to_numpy(), _matrix(part["_v"].to_numpy())
+                own = qkeys[qi, None] == keys[None, :] if exclude_self else None
+                r, c = np.nonzero(l2_candidates(Q[qi], C, k, own))
+                found.append(pd.DataFrame({"_qi": qi[r], "_d": exact_l2_pairs(Q[qi], C, r, c), "_k0": keys[c]}))
+            if found:
+                best = best_rows(([best] if best is not None else []) + found, k, ["_k0"])
         if best is not None and len(best):
-            yield pd.DataFrame({"qkey": qkeys[best["_qi"].to_numpy()], "ckey": best["_key"].to_numpy(),
-                                "score": best["_d"].to_numpy()})
+            yield pd.DataFrame({"qkey": qkeys[best["_qi"].to_numpy()], "_k0": best["_k0"].to_numpy(),
+                                "score": best["_d"].to_numpy(), "_way": TaskContext.get().partitionId() % MERGE_WAYS})
 
     return scan
 
 
-def ivf_index(collection: DataFrame, ckey: str, vector: str, n_lists: int | None = None, seed: int = 42):
-    """Train the list centres and assign every collection row to a list.
-    Returns (assigned frame (ckey, _v, _list), centres as a numpy matrix)."""
-    coll = collection.select(ckey, F.col(vector).cast("array<double>").alias("_v"))
-    if n_lists is None:
-        n_lists = max(1, int(math.sqrt(coll.count())))
-    km = KMeans(k=n_lists, seed=seed, featuresCol="_f", predictionCol="_list", maxIter=20)
-    model = km.fit(coll.select(array_to_vector("_v").alias("_f")))
-    centres = np.stack([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()])
-    assigned = model.transform(coll.withColumn("_f", array_to_vector("_v"))).select(ckey, "_v", "_list")
-    return assigned, centres
-
-
-def ivf_nearest(collection: DataFrame, questions: DataFrame, k: int, *, ckey: str, qkey: str,
-                vector: str, qvector: str | None = None, n_lists: int | None = None, n_probe: int | None = None,
-                exclude_self: bool = False, max_block: int = DEFAULT_MAX_BLOCK, seed: int = 42) -> DataFrame:
-    """Approximate top-``k`` by squared L2: (qkey, ckey, score, rank).
-    ``n_probe`` defaults to a quarter of the lists, at most 64; the broadcast
-    per question block is the questions plus ``n_probe`` list ids each."""
+def ivf_nearest(collection: DataFrame, questions: DataFrame, k: int, *, ckey: str, qkey: str, vector: str,
+                n_lists: int, n_probe: int, qvector: str | None = None, exclude_self: bool = False,
+                block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """Approximate top-``k`` by squared L2: (qkey, ckey, score, rank)."""
     qvector = qvector or vector
     spark = collection.sparkSession
-    assigned, centres = ivf_index(collection, ckey, vector, n_lists, seed)
-    n_probe = min(n_probe or min(MAX_DEFAULT_PROBES, max(1, math.ceil(len(centres) / 4))), len(centres))
+    index, centres = ivf_index(collection, ckey, vector, n_lists)
     out_schema = T.StructType([
-        T.StructField("qkey", questions.schema[qkey].dataType), T.StructField("ckey", collection.schema[ckey].dataType),
-        T.StructField("score", T.DoubleType()),
+        T.StructField("qkey", questions.schema[qkey].dataType), T.StructField("_k0", collection.schema[ckey].dataType),
+        T.StructField("score", T.DoubleType()), T.StructField("_way", T.IntegerType()),
     ])
-    qs = questions.select(F.col(qkey).alias("_q"), F.col(qvector).alias("_v"))
-    n_q = qs.count()
-    n_blocks = max(1, -(-n_q // max_block))
-    parts = []
-    for b in range(n_blocks):
-        block = qs if n_blocks == 1 else qs.filter(F.pmod(F.xxhash64("_q"), F.lit(n_blocks)) == b)
-        pdf = block.toPandas()  # bounded by max_block
-        if len(pdf) == 0:
-            continue
-        Q = _matrix(pdf["_v"].to_numpy(), None)
-        dc = (np.einsum("ij,ij->i", Q, Q)[:, None] + np.einsum("ij,ij->i", centres, centres)[None, :]
-              - 2.0 * (Q @ centres.T))
-        probes = np.argsort(dc, axis=1, kind="stable")[:, :n_probe].astype(np.int32)
+    cand = spark.createDataFrame([], out_schema)
+    for pdf in question_blocks(questions.filter(usable(qvector)), qkey, qvector, block_rows) if len(centres) else ():
+        Q = _matrix(pdf["_v"].to_numpy())
+        probes = nearest_lists(Q, centres, n_probe)
         bq = spark.sparkContext.broadcast((pdf["_q"].to_numpy(), Q, probes))
-        parts.append(assigned.mapInPandas(_make_ivf_scan(bq, k, ckey, exclude_self), out_schema))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
-    w = Window.partitionBy("qkey").orderBy("score", "ckey")
-    return (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-            .select(F.col("qkey").alias(qkey), F.col("ckey").alias(ckey), "score", "rank"))
+        read = index.filter(F.col("_list").isin(np.unique(probes).tolist()))
+        cand = cand.unionByName(read.mapInPandas(_make_scan(bq, k, ckey, exclude_self), out_schema))
+    return merged(cand, k, ["_k0"], False).select(F.col("qkey").alias(qkey), F.col("_k0").alias(ckey), "score", "rank")
 
 
 def recall(approx: DataFrame, exact: DataFrame, qkey: str, ckey: str, k: int) -> DataFrame:

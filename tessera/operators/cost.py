@@ -26,8 +26,8 @@ _IN_UNITS, _OUT_UNITS = 15, 90  # prices in 1e-7 USD per token
 
 
 def clean_tokens(c) -> Column:
-    """K4: missing or NULL token count -> 0, as int."""
-    return F.coalesce(col(c).cast("int"), F.lit(0))
+    """K4: missing or NULL token count -> 0, as bigint."""
+    return F.coalesce(col(c).cast("long"), F.lit(0).cast("long"))
 
 
 def _units(inp, out) -> Column:
@@ -56,7 +56,7 @@ def with_totals(calls: DataFrame, query="query", agent="agent", inp="input_token
     sums, as an extra row with agent 'TOTAL' beside the detail rows."""
     detail = priced(calls.select(query, agent, inp, out), inp, out)
     totals = calls.groupBy(query).agg(
-        F.sum(clean_tokens(inp)).cast("int").alias(inp), F.sum(clean_tokens(out)).cast("int").alias(out))
+        F.sum(clean_tokens(inp)).alias(inp), F.sum(clean_tokens(out)).alias(out))
     totals = priced(totals.select(query, F.lit(TOTAL_AGENT).alias(agent), inp, out), inp, out)
     return detail.unionByName(totals)
 

@@ -25,13 +25,19 @@ def monthly_revenue(df: DataFrame, month="month", revenue="revenue_usd") -> Data
     """A1: ROUND(SUM(revenue),2) by month, ordered by month."""
     return (
         df.groupBy(month)
-        .agg(to_double(F.round(F.sum(F.col(revenue).cast("decimal(38,4)")), 2)).alias("total_revenue_usd"))
+        .agg(to_double(F.round(F.sum(F.col(revenue).cast("decimal(18,4)")), 2)).alias("total_revenue_usd"))
         .orderBy(month)
     )
 
 
-def weighted_churn(df: DataFrame, churned="churned_customers", beginning="beginning_customers") -> DataFrame:
-    """A2 + M2: ratio of sums (weighted) beside the plain mean of period rates."""
+def weighted_churn(df: DataFrame, churned="churned_customers", beginning="beginning_customers",
+                   period="month", first=None, last=None) -> DataFrame:
+    """A2 + M2: ratio of sums (weighted) beside the plain mean of period rates,
+    over the periods from ``first`` to ``last`` (both included; None: open)."""
+    if first is not None:
+        df = df.filter(F.col(period) >= first)
+    if last is not None:
+        df = df.filter(F.col(period) <= last)
     return df.agg(
         pct(F.sum(churned), F.sum(beginning)).alias("churn_rate_pct"),
         F.round(F.avg(pct(churned, beginning, None)), 2).alias("mean_period_churn_pct"),
@@ -77,6 +83,7 @@ def benchmark_gap(
     )
 
 
+# The scorecard's source and output column names.
 SCORECARD_AVERAGES = (
     ("renewal_rate_pct", "renewal_rate_pct"),
     ("customer_satisfaction_pct", "customer_satisfaction_pct"),

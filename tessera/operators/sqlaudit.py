@@ -8,14 +8,14 @@ G5 profiles tables in one aggregate pass per table.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tessera.functions.columns import col
 from tessera.functions.text import strip_ws
+from tessera.session import scratch_path
 
 # ---------------------------------------------------------------------------
 # Judged words (reference order), reasons, run limits.
@@ -23,51 +23,20 @@ BLOCKED_WORDS = [
     "ALTER", "ATTACH", "CREATE", "DELETE", "DROP", "INSERT", "PRAGMA", "REPLACE",
     "TRUNCATE", "UPDATE", "VACUUM",
 ]
-# Spark SQL can call JVM methods from a SELECT; these are blocked as well.
+# Spark SQL can call JVM methods and run shell scripts from a SELECT; these are
+# blocked as well (TRANSFORM is also a harmless function: only with USING).
 SPARK_BLOCKED_WORDS = ["REFLECT", "JAVA_METHOD", "TRY_REFLECT"]
+SCRIPT_CALL = r"(?is)\b(?:TRANSFORM|MAP|REDUCE)\b.*\bUSING\s*['\"]"
 REASON_NOT_SELECT = "Only SELECT or WITH queries are permitted."
 REASON_MULTI = "Only one SQL statement is permitted."
 REASON_BLOCKED = "Blocked keyword: "
+REASON_SCRIPT = "Blocked script call"
 REASON_OK = "OK"
 MAX_ROWS = 100
 PREVIEW_ROWS = 20
-# ---------------------------------------------------------------------------
-
 FENCE = r"(?is)```(?:sql)?\s*(.*?)```"
 LEAD = r"(?is)^(.*?)\b(?:SELECT|WITH)\b"
-
-
-def _clean_once(c) -> tuple[Column, Column]:
-    s = strip_ws(col(c))
-    s = F.when(s.rlike(FENCE), strip_ws(F.regexp_extract(s, FENCE, 1))).otherwise(s)
-    has_word = s.rlike(r"(?i)\b(?:SELECT|WITH)\b")
-    prefix = F.when(has_word, F.regexp_extract(s, LEAD, 1)).otherwise(F.lit(""))
-    body = F.when(has_word, F.substring(s, F.length(prefix) + 1, 1 << 30)).otherwise(s)
-    return strip_ws(F.regexp_replace(body, r";+\z", "")), prefix
-
-
-def clean_sql(c) -> Column:
-    """G1: fenced block body if any; cut everything before the first word
-    SELECT/WITH; drop trailing ';'; trim."""
-    return _clean_once(c)[0]
-
-
-def discarded_prefix(c) -> Column:
-    """What G1 cut off in front of the statement (for auditing the cut)."""
-    return _clean_once(c)[1]
-
-
-def judge_sql(c, spark_words: bool = True) -> Column:
-    """G2 on ``clean_sql(c)`` (the judge cleans again, as the reference does):
-    returns struct(valid boolean, reason string); first failure wins."""
-    s = clean_sql(c)
-    words = BLOCKED_WORDS + (SPARK_BLOCKED_WORDS if spark_words else [])
-    reason = F.when(~s.rlike(r"(?i)^(?:SELECT|WITH)\b"), F.lit(REASON_NOT_SELECT)).when(
-        s.contains(";"), F.lit(REASON_MULTI))
-    for w in words:
-        reason = reason.when(s.rlike(rf"(?i)\b{w}\b"), F.lit(REASON_BLOCKED + w))
-    reason = reason.otherwise(F.lit(REASON_OK))
-    return F.struct((reason == REASON_OK).alias("valid"), reason.alias("reason"))
+# ---------------------------------------------------------------------------
 
 
 def _clean_frame(df: DataFrame, src: str, out: str, prefix_out: str) -> DataFrame:
@@ -75,7 +44,7 @@ def _clean_frame(df: DataFrame, src: str, out: str, prefix_out: str) -> DataFram
     regexes run once per row instead of once per reference in a nested tree."""
     word = r"(?i)\b(?:SELECT|WITH)\b"
     return (
-        df.withColumn("_s1", strip_ws(src))
+        df.withColumn("_s1", F.coalesce(strip_ws(src), F.lit("")))
         .withColumn("_s2", F.when(F.col("_s1").rlike(FENCE), strip_ws(F.regexp_extract("_s1", FENCE, 1)))
                     .otherwise(F.col("_s1")))
         .withColumn("_hw", F.col("_s2").rlike(word))
@@ -90,7 +59,7 @@ def _clean_frame(df: DataFrame, src: str, out: str, prefix_out: str) -> DataFram
 def audit(df: DataFrame, sql="sql", spark_words: bool = True) -> DataFrame:
     """G1 + G2 over a table of generated statements: cleaned_sql,
     discarded_prefix, valid, reason (the judge cleans once more, as the
-    reference's validator does)."""
+    reference's validator does).  A NULL statement is judged like an empty one."""
     x = _clean_frame(df, sql, "cleaned_sql", "discarded_prefix")
     x = _clean_frame(x, "cleaned_sql", "_judged", "_p2")
     s = F.col("_judged")
@@ -99,6 +68,8 @@ def audit(df: DataFrame, sql="sql", spark_words: bool = True) -> DataFrame:
         s.contains(";"), F.lit(REASON_MULTI))
     for w in words:
         reason = reason.when(s.rlike(rf"(?i)\b{w}\b"), F.lit(REASON_BLOCKED + w))
+    if spark_words:
+        reason = reason.when(s.rlike(SCRIPT_CALL), F.lit(REASON_SCRIPT))
     reason = reason.otherwise(F.lit(REASON_OK))
     return x.withColumn("reason", reason).withColumn("valid", F.col("reason") == REASON_OK).drop("_judged", "_p2")
 
@@ -112,30 +83,51 @@ class GuardedResult:
     rows: DataFrame | None
 
 
-def _judge_text(spark: SparkSession, text: str) -> tuple[str, bool, str]:
-    r = spark.range(1).select(clean_sql(F.lit(text)).alias("s"), judge_sql(F.lit(text)).alias("j")).first()
-    return r["s"], r["j"]["valid"], r["j"]["reason"]
+def _judge_text(spark: SparkSession, text: str | None) -> tuple[str, bool, str]:
+    one = spark.range(1).select(F.lit(text).cast("string").alias("sql"))
+    r = audit(one).select("cleaned_sql", "valid", "reason").first()
+    return r["cleaned_sql"], r["valid"], r["reason"]
+
+
+# Nodes of a parsed statement that do more than read tables, and relations that
+# name a file format instead of a table.
+_REFUSED_NODES = re.compile(r"ScriptTransformation|\w+Command\b|InsertInto|CreateTable|CreateView|DropTable|SetCatalog")
+_FILE_RELATION = re.compile(
+    r"UnresolvedRelation \[(?:parquet|orc|csv|json|text|avro|xml|binaryFile|jdbc|delta|iceberg)\b", re.I)
 
 
-def run_guarded(spark: SparkSession, text: str, max_rows: int = MAX_ROWS) -> GuardedResult:
-    """Clean and judge one statement; FAILED statements never run; a
-    statement that fails to analyse reports ERROR with the message.  The
-    result keeps at most ``max_rows`` rows (the limit is pushed by Catalyst).
+def refused_plan(spark: SparkSession, sql: str) -> str | None:
+    """Why the parsed statement may not run, or None.  Parsing runs nothing."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).toString()
+    if m := _REFUSED_NODES.search(plan):
+        return f"{REASON_SCRIPT}: {m[0]}"
+    return "Only tables can be read" if _FILE_RELATION.search(plan) else None
 
-    ``spark.sql.runSQLOnFiles`` is switched off while the statement is
-    planned, so a SELECT cannot read arbitrary paths."""
+
+def run_guarded(spark: SparkSession, text: str | None, max_rows: int = MAX_ROWS) -> GuardedResult:
+    """Clean, judge and run one statement.
+
+    FAILED statements never run: those that the word rules reject, and those
+    whose parsed plan holds a script call, a command or a file relation.  The
+    others run into a table in the shared folder, at most ``max_rows`` rows, so
+    that a statement that fails at any point reports ERROR with its message and
+    no rows.
+    """
     sql, valid, reason = _judge_text(spark, text)
     if not valid:
         return GuardedResult("FAILED", reason, sql, [], None)
-    prev = spark.conf.get("spark.sql.runSQLOnFiles", "true")
-    spark.conf.set("spark.sql.runSQLOnFiles", "false")
     try:
+        refused = refused_plan(spark, sql)
+        if refused:
+            return GuardedResult("FAILED", refused, sql, [], None)
         df = spark.sql(sql).limit(max_rows)
-        return GuardedResult("PASSED", REASON_OK, sql, df.columns, df)
-    except Exception as e:  # analysis errors surface here, not at collect time
+        ordered = df.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("place"))
+        path = scratch_path(spark, "guarded")
+        ordered.coalesce(1).write.parquet(path)
+        back = spark.read.schema(ordered.schema).parquet(path).orderBy("place").select("row.*")
+        return GuardedResult("PASSED", REASON_OK, sql, df.columns, back)
+    except Exception as e:  # analysis and run-time failures alike
         return GuardedResult("ERROR", str(e).split("\n")[0], sql, [], None)
-    finally:
-        spark.conf.set("spark.sql.runSQLOnFiles", prev)
 
 
 def explanation_rows(df: DataFrame, n: int = PREVIEW_ROWS) -> DataFrame:
@@ -143,51 +135,34 @@ def explanation_rows(df: DataFrame, n: int = PREVIEW_ROWS) -> DataFrame:
     return df.limit(n)
 
 
-def _distinct_value(df: DataFrame, c: str) -> Column:
-    """Value identity for exact distinct counting: strings by their 16-byte
-    md5 (distinct up to collisions, ~1e-21 at 1e9 values), others as is."""
-    if isinstance(df.schema[c].dataType, T.StringType):
-        return F.unhex(F.md5(F.col(c)))
-    return F.col(c)
-
+def profile_tables(frames: dict, exact: dict | None = None) -> DataFrame:
+    """Per table and column, rows, nulls and distinct values; one aggregate
+    and so one scan for each table.
 
-def profile_tables(frames: dict, exact: bool = True) -> DataFrame:
-    """Per table and column, rows, nulls and distinct values.
-
-    Rows and nulls: one plain aggregate per table.  Exact distinct counts: one
-    single-column de-duplication per column (partial aggregate map-side, so a
-    hot value collapses per task), unioned.  Parquet is columnar, so the
-    per-column branches together read the same bytes as one scan, without the
-    rows-times-columns expansion a multi-distinct aggregate needs, and the
-    branches run in parallel.  ``exact=False``: HyperLogLog in the first
-    aggregate, no value shuffle at all."""
-    stats, distinct = None, None
+    ``distinct_values`` is exact, for the columns that ``exact`` names ({table:
+    [columns]}), and NULL for the others; ``distinct_estimate`` is a HyperLogLog
+    estimate for those.
+    """
+    stats = None
     for name, df in frames.items():
+        named = set((exact or {}).get(name, ()))
         cols = df.columns
-        agg = df.agg(F.count(F.lit(1)).alias("_rows"),
-                     *[F.count_if(F.col(c).isNull()).alias(f"_n{i}") for i, c in enumerate(cols)],
-                     *([] if exact else [F.approx_count_distinct(F.col(c)).alias(f"_d{i}")
-                                         for i, c in enumerate(cols)]))
-        stack = F.explode(F.array(*[
+        agg = df.agg(
+            F.count(F.lit(1)).alias("_rows"),
+            *[F.count_if(F.col(c).isNull()).alias(f"_n{i}") for i, c in enumerate(cols)],
+            *[(F.count_distinct(F.col(c)) if c in named else F.approx_count_distinct(F.col(c))).alias(f"_d{i}")
+              for i, c in enumerate(cols)])
+        rows = F.inline(F.array(*[
             F.struct(F.lit(i).alias("column_position"), F.lit(c).alias("column_name"),
-                     F.col(f"_n{i}").alias("null_values"),
-                     (F.col(f"_d{i}").cast("long") if not exact else F.lit(None).cast("long")).alias("_approx"))
+                     F.col("_rows").alias("row_count"), F.col(f"_n{i}").alias("null_values"),
+                     (F.col(f"_d{i}") if c in named else F.lit(None)).cast("long").alias("distinct_values"),
+                     F.col(f"_d{i}").cast("long").alias("distinct_estimate"))
             for i, c in enumerate(cols)]))
-        st = agg.select(F.lit(name).alias("table_name"), F.col("_rows").alias("row_count"), stack.alias("p")).select(
-            "table_name", "p.column_position", "p.column_name", "row_count", "p.null_values", "p._approx")
-        stats = st if stats is None else stats.unionByName(st)
-        if exact:
-            for i, c in enumerate(cols):
-                d = df.select(F.count_distinct(_distinct_value(df, c)).alias("distinct_values")).select(
-                    F.lit(name).alias("table_name"), F.lit(i).alias("column_position"), "distinct_values")
-                distinct = d if distinct is None else distinct.unionByName(d)
-    if not exact:
-        return stats.withColumnRenamed("_approx", "distinct_values")
-    return stats.drop("_approx").join(distinct, ["table_name", "column_position"]).select(
-        "table_name", "column_position", "column_name", "row_count", "null_values",
-        F.col("distinct_values").cast("long").alias("distinct_values"))
-
-
-def profile(df: DataFrame, table: str, exact: bool = True) -> DataFrame:
+        part = agg.select(F.lit(name).alias("table_name"), rows)
+        stats = part if stats is None else stats.unionByName(part)
+    return stats
+
+
+def profile(df: DataFrame, table: str, exact: list | None = None) -> DataFrame:
     """G5 for one table (see ``profile_tables``)."""
-    return profile_tables({table: df}, exact)
+    return profile_tables({table: df}, {table: exact or []})

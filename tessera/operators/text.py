@@ -1,9 +1,10 @@
 """Text preparation operators (D1-D8, S8, R6 over a corpus).
 
 All are narrow projections + ``posexplode`` (no shuffle), except the corpus
-de-duplication, which is one hash aggregate with map-side partial combine so
+de-duplication, which is one aggregate with map-side partial combine so
 that a sentence repeated across a third of the corpus is reduced per task
-before the shuffle instead of landing in one window partition.
+before the shuffle instead of landing in one window partition.  (The kept copy
+is a struct with a string, so Spark plans it as a sort aggregate.)
 """
 
 from __future__ import annotations

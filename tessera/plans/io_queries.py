@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import cost as K
-from tessera.operators.sessions import run_summary
+from tessera.operators.sessions import run_summary, stage_seconds
 from tessera.operators.text import chunk_documents
 from tessera.plans.ops_queries import CALLS_SQL, _price, model_calls
 from tessera.plans.text_queries import SQL_CHUNKS, document_filename
@@ -26,6 +26,12 @@ def run_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return run_summary(ev, F.col("event_type") == "signup")
 
 
+def run_stages(spark: SparkSession, sf: str) -> DataFrame:
+    """Route and seconds per stage of the same runs."""
+    found = stage_seconds(Tables(spark, sf).events, F.col("event_type") == "signup")
+    return found.select("user_id", "run_no", "event_type", "n_stages", "seconds", F.array_join("route", ",").alias("route"))
+
+
 def sink_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """S1 + S3: documents written as one text file each (full refresh, twice),
     read back file by file; text identity checked by length and md5."""
@@ -44,20 +50,30 @@ def chunk_store(spark: SparkSession, sf: str) -> DataFrame:
     chunks = chunk_documents(Tables(spark, sf).documents)
     S.write_table(chunks, path, partition_by=["source"])
     S.write_table(chunks, path, partition_by=["source"])  # full refresh
-    return spark.read.parquet(path).select("chunk_id", "doc_id", F.col("source").cast("string"), "chunk", "text")
+    back = spark.read.schema(chunks.schema).parquet(path)  # no inferred partition types
+    return back.select("chunk_id", "doc_id", "source", "chunk", "text")
+
+
+def logged_calls(t: Tables) -> DataFrame:
+    """The priced calls as log records; a call's time is its place in the
+    conversation, in minutes after a fixed day for each conversation."""
+    at = F.timestamp_seconds(F.lit(1_767_225_600) + F.col("query") * 3600 + F.col("turn") * 60)
+    return K.priced(model_calls(t)).select(
+        F.to_timestamp_ntz(F.date_format(at, "yyyy-MM-dd HH:mm:ss")).alias("timestamp"),
+        F.col("query").cast("string").alias("query"), "agent", "input_tokens", "output_tokens", "cost_usd",
+        "cost_per_1000_queries")
 
 
 def call_log_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """S5 + S6: priced calls appended to a JSON-lines log in two writes, read
-    back with the explicit log schema."""
-    calls = K.priced(model_calls(Tables(spark, sf))).select(
-        F.lit(None).cast("string").alias("timestamp"), F.col("query").cast("string").alias("query"), "agent",
-        F.col("input_tokens").cast("long").alias("input_tokens"),
-        F.col("output_tokens").cast("long").alias("output_tokens"), "cost_usd", "cost_per_1000_queries")
+    back with the explicit log schema; malformed lines would be kept apart."""
+    calls = logged_calls(Tables(spark, sf))
     path = scratch_path(spark, "call-log")
-    S.append_jsonl(calls.filter(F.col("agent") != "assistant"), path)
-    S.append_jsonl(calls.filter(F.col("agent") == "assistant"), path)
-    return S.read_call_log(spark, path).drop("timestamp")
+    assistant = F.coalesce(F.col("agent") == "assistant", F.lit(False))
+    S.append_jsonl(calls.filter(~assistant), path)
+    S.append_jsonl(calls.filter(assistant), path)
+    return S.read_call_log(spark, path).filter("malformed IS NULL").drop("malformed").withColumn(
+        "timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
 
 
 def _midpoint(df: DataFrame, c: str):
@@ -67,34 +83,38 @@ def _midpoint(df: DataFrame, c: str):
 
 def stream_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Documents land in two arrivals; an availableNow file stream chunks
-    each arrival incrementally; the sink holds every chunk once."""
+    each arrival incrementally.  The first arrival also delivers every tenth
+    later document in a stale version: its second delivery replaces the chunks."""
     docs = Tables(spark, sf).documents
     lo, hi = _midpoint(docs, "doc_id")
     mid = (lo + hi) // 2 if lo is not None else 0
     landing, sink, ckpt = (scratch_path(spark, n) for n in ("doc-landing", "chunk-sink", "chunk-ckpt"))
-    for part in (docs.filter(F.col("doc_id") <= mid), docs.filter(F.col("doc_id") > mid)):
+    early = F.coalesce(F.col("doc_id") <= mid, F.lit(False))
+    stale = docs.filter(~early & (F.col("doc_id") % 10 == 0)).withColumn("text", F.concat(F.lit("stale "), "text"))
+    for part in (docs.filter(early).unionByName(stale), docs.filter(~early)):
         part.write.mode("append").parquet(landing)
         X.incremental_chunks(spark, landing, docs.schema, sink, ckpt)
-    return X.read_batches(spark, sink).select("chunk_id", "doc_id", "source", "chunk", "text")
+    return X.latest_documents(spark, sink).select("chunk_id", "doc_id", "source", "chunk", "text")
 
 
 def stream_cost(spark: SparkSession, sf: str) -> DataFrame:
-    """Events arrive in two halves of their time span; daily windows per
-    event type are maintained by an update-mode stream with a watermark."""
-    ev = Tables(spark, sf).events
-    lo, hi = _midpoint(ev, "ts")
+    """The call log arrives in two halves of its time span; calls, tokens and
+    their price per agent and day are maintained by an update-mode stream."""
+    calls = logged_calls(Tables(spark, sf))
+    lo, hi = _midpoint(calls, "timestamp")
     mid = lo + (hi - lo) / 2 if lo is not None else None
-    landing, sink, ckpt = (scratch_path(spark, n) for n in ("event-landing", "event-sink", "event-ckpt"))
-    for part in (ev.filter(F.col("ts") <= F.lit(mid)), ev.filter(F.col("ts") > F.lit(mid))):
-        part.write.mode("append").parquet(landing)
-        X.windowed_event_stats(spark, landing, ev.schema, sink, ckpt)
+    landing, sink, ckpt = (scratch_path(spark, n) for n in ("log-landing", "cost-sink", "cost-ckpt"))
+    early = F.coalesce(F.col("timestamp") <= F.lit(mid).cast("timestamp_ntz"), F.lit(False))
+    for part in (calls.filter(early), calls.filter(~early)):
+        S.append_jsonl(part, landing)
+        X.windowed_call_cost(spark, landing, sink, ckpt)
     return X.latest_windows(spark, sink).select(
-        X.window_day("w.start").alias("day"), "event_type", "n_events",
-        F.col("total_value").cast("double").alias("total_value"))
+        X.window_day("w.start").alias("day"), "agent", "n_calls", "input_tokens", "output_tokens", "cost_usd")
 
 
 QUERIES = {
     "run_sessions": run_sessions,
+    "run_stages": run_stages,
     "sink_roundtrip": sink_roundtrip,
     "chunk_store": chunk_store,
     "call_log_roundtrip": call_log_roundtrip,
@@ -102,6 +122,8 @@ QUERIES = {
     "stream_cost": stream_cost,
 }
 
+CALL_TIME_SQL = "strftime(TIMESTAMP '2026-01-01' + to_hours(query) + to_minutes(turn), '%Y-%m-%d %H:%M:%S')"
+
 ORACLE_SQL = {
     "run_sessions": """WITH e AS (SELECT *, CAST(event_type = 'signup' AS INTEGER) AS o FROM events),
 r AS (SELECT *, CAST(SUM(o) OVER (PARTITION BY user_id ORDER BY ts, event_id
@@ -115,11 +137,22 @@ FROM r GROUP BY user_id, run_no""",
     "sink_roundtrip": """SELECT source || '_' || lang || '_' || doc_id::VARCHAR || '.txt' AS filename,
   CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS text_md5 FROM documents""",
     "chunk_store": f"WITH {SQL_CHUNKS} SELECT * FROM chunks",
+    "run_stages": """WITH e AS (SELECT *, CAST(event_type = 'signup' AS INTEGER) AS o FROM events),
+r AS (SELECT *, CAST(SUM(o) OVER (PARTITION BY user_id ORDER BY ts, event_id
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS run_no FROM e),
+g AS (SELECT *, date_diff('microsecond', lag(ts) OVER (PARTITION BY user_id, run_no ORDER BY ts, event_id), ts) AS us
+  FROM r),
+s AS (SELECT user_id, run_no, event_type, COUNT(*) AS n_stages, ROUND(SUM(us) / 1e6, 6) AS seconds
+  FROM g WHERE us IS NOT NULL GROUP BY 1, 2, 3)
+SELECT *, string_agg(event_type, ',') OVER (PARTITION BY user_id, run_no ORDER BY event_type
+  ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS route FROM s""",
     "call_log_roundtrip": f"""WITH {CALLS_SQL}
-SELECT query::VARCHAR AS query, agent, CAST(input_tokens AS BIGINT) AS input_tokens,
-  CAST(output_tokens AS BIGINT) AS output_tokens, {_price('input_tokens', 'output_tokens')} FROM calls""",
+SELECT {CALL_TIME_SQL} AS timestamp, query::VARCHAR AS query, agent, input_tokens, output_tokens,
+  {_price('input_tokens', 'output_tokens')} FROM calls""",
     "stream_chunks": f"WITH {SQL_CHUNKS} SELECT * FROM chunks",
-    "stream_cost": """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, COUNT(*) AS n_events,
-  CAST(ROUND(SUM(CAST(value AS DECIMAL(18,2))), 2) AS DOUBLE) AS total_value
-FROM events GROUP BY 1, 2""",
+    "stream_cost": f"""WITH {CALLS_SQL},
+d AS (SELECT substr({CALL_TIME_SQL}, 1, 10) AS day, agent, COUNT(*) AS n_calls,
+  CAST(SUM(input_tokens) AS BIGINT) AS input_tokens, CAST(SUM(output_tokens) AS BIGINT) AS output_tokens
+  FROM calls GROUP BY 1, 2)
+SELECT *, CAST((15 * input_tokens + 90 * output_tokens + 5) // 10 AS DOUBLE) / 1000000.0 AS cost_usd FROM d""",
 }

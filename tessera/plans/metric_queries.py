@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import month_text
 from tessera.operators import metrics as M
 from tessera.plans import derived as D
-from tessera.plans.derived import line_revenue
+from tessera.plans.derived import line_units
 from tessera.plans.sqltext import (CUSTOMER_CHURN, DOCUMENT_QUALITY, REGIONAL_REVENUE,
                                    SALES_CUSTOMER_SUCCESS, pct)
-from tessera.sources.tables import Tables, bounded_broadcast
+from tessera.sources.tables import Tables
 
 SCS_INDICATORS = (
     "renewal_rate_pct", "customer_satisfaction_pct", "implementation_on_time_pct",
@@ -31,6 +31,11 @@ def weighted_churn(spark: SparkSession, sf: str) -> DataFrame:
     return M.weighted_churn(D.customer_churn(Tables(spark, sf)))
 
 
+def weighted_churn_period(spark: SparkSession, sf: str) -> DataFrame:
+    """M2 over a chosen span of periods."""
+    return M.weighted_churn(D.customer_churn(Tables(spark, sf)), first="1996-Q1", last="1997-Q2")
+
+
 def customer_rollforward(spark: SparkSession, sf: str) -> DataFrame:
     return M.churn_rollforward(D.customer_churn(Tables(spark, sf)))
 
@@ -40,7 +45,8 @@ def q4_region(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def benchmark_gap(spark: SparkSession, sf: str) -> DataFrame:
-    return M.benchmark_gap(D.document_quality(Tables(spark, sf)))
+    """A4: the Q4 rows."""
+    return M.benchmark_gap(D.document_quality(Tables(spark, sf)), quarter="quarter", quarter_value="Q4")
 
 
 def region_scorecard(spark: SparkSession, sf: str) -> DataFrame:
@@ -76,14 +82,15 @@ def growth_at_risk(spark: SparkSession, sf: str) -> DataFrame:
 
 def top_part(spark: SparkSession, sf: str) -> DataFrame:
     """Aggregate lineitem by part (partial agg), take the top one, then
-    look up its name: the lookup side is one row by construction."""
+    look up its name."""
     t = Tables(spark, sf)
-    per_part = t.lineitem.groupBy("l_partkey").agg(F.sum(line_revenue()).alias("_rev"))
+    per_part = t.lineitem.groupBy("l_partkey").agg(F.sum(line_units()).alias("_rev"))
     best = M.top_member(per_part, "l_partkey", "_rev", 1)
     return (
         t.part.select("p_partkey", "p_name")
-        .join(bounded_broadcast(best, 1), F.col("p_partkey") == F.col("l_partkey"))
-        .select("p_partkey", "p_name", F.round("_rev", 2).cast("double").alias("total_revenue_usd"))
+        .join(best, F.col("p_partkey") == F.col("l_partkey"))
+        .select("p_partkey", "p_name", F.round(F.col("_rev").cast("decimal(20,0)") / 1_000_000, 2)
+                .cast("double").alias("total_revenue_usd"))
     )
 
 
@@ -96,6 +103,7 @@ def segment_rollup(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "monthly_revenue": monthly_revenue,
     "weighted_churn": weighted_churn,
+    "weighted_churn_period": weighted_churn_period,
     "customer_rollforward": customer_rollforward,
     "q4_region": q4_region,
     "benchmark_gap": benchmark_gap,
@@ -146,7 +154,13 @@ SELECT department, satisfaction_pct, industry_benchmark_pct,
   CASE WHEN ROUND(satisfaction_pct - industry_benchmark_pct, 2) > 0 THEN 'above'
        WHEN ROUND(satisfaction_pct - industry_benchmark_pct, 2) < 0 THEN 'below' ELSE 'at' END
     AS benchmark_position
-FROM dq ORDER BY benchmark_gap_pct DESC""",
+FROM dq WHERE quarter = 'Q4' ORDER BY benchmark_gap_pct DESC""",
+    "weighted_churn_period": f"""
+WITH {CUSTOMER_CHURN}
+SELECT {pct('SUM(churned_customers)', 'SUM(beginning_customers)')} AS churn_rate_pct,
+  ROUND(AVG({pct('churned_customers', 'beginning_customers', None)}), 2) AS mean_period_churn_pct,
+  COUNT(*) AS periods
+FROM churn WHERE month BETWEEN '1996-Q1' AND '1997-Q2'""",
     "region_scorecard": f"""
 WITH {SALES_CUSTOMER_SUCCESS}
 SELECT region, CAST(SUM(sales_revenue_usd) AS DOUBLE) AS annual_sales_revenue_usd,

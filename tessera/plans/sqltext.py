@@ -22,8 +22,8 @@ CUSTOMER_REGION = """cr AS (
 
 LINES_PER_ORDER = """lpo AS (
   SELECT l_orderkey,
-    SUM(CAST(l_extendedprice AS DECIMAL(15,2)) * (1 - CAST(l_discount AS DECIMAL(15,2)))) AS line_revenue,
-    SUM(CAST(l_discount AS DECIMAL(15,2))) * 100 AS discount_pct_sum,
+    SUM(CAST(l_extendedprice AS DECIMAL(15,2)) * (1 - CAST(l_discount AS DECIMAL(15,8)))) AS line_revenue,
+    SUM(CAST(l_discount AS DECIMAL(15,8))) * 100 AS discount_pct_sum,
     COUNT(*) AS lines,
     COUNT(*) FILTER (WHERE l_returnflag = 'R') AS returned_lines,
     COUNT(*) FILTER (WHERE l_linestatus = 'F') AS closed_lines,
@@ -43,7 +43,8 @@ rr AS (
   FROM oe GROUP BY 1, 2, 3)"""
 
 SALES_CUSTOMER_SUCCESS = f"""{ORDERS_ENRICHED},
-oq AS (SELECT *, {QIDX} AS qidx FROM oe),
+oq AS (SELECT o.*, cr.region, lpo.lines, lpo.returned_lines, lpo.closed_lines, lpo.small_lines, {QIDX} AS qidx
+  FROM orders o LEFT JOIN lpo ON lpo.l_orderkey = o.o_orderkey LEFT JOIN cr ON cr.c_custkey = o.o_custkey),
 scs AS (
   SELECT {QLABEL} AS quarter, region,
     SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS sales_revenue_usd,
@@ -81,13 +82,13 @@ DOCUMENT_QUALITY = f"""j AS (
   SELECT l.doc_id, quality, toxic, source, lang, n_chars
   FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
 per AS (
-  SELECT source AS department, SUM(quality) AS good, COUNT(*) AS labelled_docs,
+  SELECT source AS department, 'Q' || (doc_id % 4 + 1)::VARCHAR AS quarter, SUM(quality) AS good, COUNT(*) AS labelled_docs,
     {pct('COUNT(*) - SUM(toxic)', 'COUNT(*)')} AS manager_effectiveness_pct,
     {pct("COUNT(*) FILTER (WHERE lang = 'en')", 'COUNT(*)')} AS workload_balance_pct,
     {pct('COUNT(*) FILTER (WHERE n_chars >= 1000)', 'COUNT(*)')} AS learning_access_pct
-  FROM j GROUP BY source),
+  FROM j GROUP BY 1, 2),
 dq AS (
-  SELECT department, labelled_docs, {pct('good', 'labelled_docs')} AS satisfaction_pct,
-    {pct('SUM(good) OVER ()', 'SUM(labelled_docs) OVER ()')} AS industry_benchmark_pct,
+  SELECT department, quarter, labelled_docs, {pct('good', 'labelled_docs')} AS satisfaction_pct,
+    {pct('SUM(good) OVER (PARTITION BY quarter)', 'SUM(labelled_docs) OVER (PARTITION BY quarter)')} AS industry_benchmark_pct,
     manager_effectiveness_pct, workload_balance_pct, learning_access_pct
   FROM per)"""

@@ -12,7 +12,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Defaults for local runs; a cluster deployment passes its own through ``extra``.
 LOCAL_CONF = {
@@ -25,22 +25,21 @@ LOCAL_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
     "spark.driver.memory": "16g",
-    # SELECT must not read arbitrary paths (`SELECT * FROM parquet.`/x``).
-    "spark.sql.runSQLOnFiles": "false",
 }
 
 
 def build_session(
     master: str | None = None,
     app: str = "tessera",
-    shuffle_partitions: int = 8,
+    shuffle_partitions: int | None = None,
     extra: dict[str, str] | None = None,
 ) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     conf = dict(LOCAL_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -53,8 +52,8 @@ def build_session(
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster it must be set (HDFS/S3/ABFS...).  Only a local-mode session
-    without one gets a private folder under the system temp directory.
+    On a cluster it must be set (HDFS/S3/ABFS...).  Only where it is unset, in a
+    ``local[...]`` session such as a test's, a folder of its own is made.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -78,13 +77,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-
 _SHIPPED: set = set()
 
 

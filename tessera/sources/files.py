@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CALL_LOG_SCHEMA = T.StructType([
-    T.StructField("timestamp", T.StringType()),
+    T.StructField("timestamp", T.TimestampNTZType()),
     T.StructField("query", T.StringType()),
     T.StructField("agent", T.StringType()),
     T.StructField("input_tokens", T.LongType()),
     T.StructField("output_tokens", T.LongType()),
     T.StructField("cost_usd", T.DoubleType()),
     T.StructField("cost_per_1000_queries", T.DoubleType()),
+    T.StructField("malformed", T.StringType()),
 ])
 
 
@@ -39,8 +40,9 @@ def write_documents_as_files(docs: DataFrame, path: str, filename="filename", te
 def read_documents_from_files(spark: SparkSession, path: str) -> DataFrame:
     """Inverse of ``write_documents_as_files``; the writer's line separator
     after each value is removed again."""
-    df = spark.read.text(path, wholetext=True)
-    return df.select(F.col("filename").cast("string").alias("filename"),
+    # an explicit schema: inferred partition values would turn "007" into 7
+    df = spark.read.schema("value string, filename string").text(path, wholetext=True)
+    return df.select("filename",
                      F.regexp_replace("value", r"\n\z", "").alias("text"))
 
 
@@ -58,8 +60,10 @@ def append_jsonl(df: DataFrame, path: str) -> None:
 
 
 def read_call_log(spark: SparkSession, path: str, schema: T.StructType = CALL_LOG_SCHEMA) -> DataFrame:
-    """The call log with an explicit schema (no inference pass)."""
-    return spark.read.schema(schema).json(path)
+    """The call log with an explicit schema (no inference pass).  ISO
+    timestamps become TIMESTAMP_NTZ; a line that is no valid JSON object of this
+    shape is kept whole in ``malformed``, and is not a call."""
+    return spark.read.schema(schema).option("columnNameOfCorruptRecord", "malformed").json(path)
 
 
 def is_empty(df: DataFrame) -> bool:

@@ -1,9 +1,8 @@
-"""Relational tables by name (parquet), plus size-checked broadcast."""
+"""Relational tables by name (parquet)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -12,42 +11,20 @@ TABLES = (
 )
 
 
-# Tables whose rows carry CPU-heavy per-row work (regexes, tokenising,
-# hashing) before any shuffle.
-CPU_HEAVY_TABLES = {"documents", "conversations", "events", "pages"}
-SMALL_INPUT_BYTES_PER_CORE = 64 * 1024 * 1024
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Scan one driver table; Catalyst prunes columns and pushes filters."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread_small_input(df) if name in CPU_HEAVY_TABLES else df
-
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
-def spread_small_input(df: DataFrame) -> DataFrame:
-    """Minimum parallelism for CPU-heavy row work on a *small* input.
 
-    A parquet file is split by row groups, so a few small files can give one
-    non-empty task.  Only when the input is fewer files than cores and under
-    ``cores x 64 MB`` is it spread round-robin (a shuffle of at most that
-    much); a large input already has its natural split parallelism and is
-    returned untouched, so at scale this adds no shuffle."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if not files or len(files) >= cores or df.rdd.getNumPartitions() >= cores * 4:
-        return df
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
-    total = 0
-    for f in files:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        total += path.getFileSystem(conf).getFileStatus(path).getLen()
-    if total >= cores * SMALL_INPUT_BYTES_PER_CORE:
-        return df
-    return df.repartition(cores)
+def discover(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Names of the tables that a folder holds (one directory listing by the
+    file system of the path)."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    names = (f.getPath().getName() for f in found)
+    return sorted(n.removesuffix(".parquet") for n in names if n.endswith(".parquet"))
 
 
 def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
@@ -56,29 +33,6 @@ def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
-_BOUND_CHECKS: dict = {}
-
-
-def is_bounded(df: DataFrame, max_rows: int, cache_key: str | None = None) -> bool:
-    """True when ``df`` provably holds at most ``max_rows`` rows (reads at
-    most ``max_rows + 1`` rows).  ``cache_key`` (e.g. a table path) reuses an
-    earlier check of the same immutable input within the session."""
-    key = (id(df.sparkSession), cache_key, max_rows) if cache_key else None
-    if key is not None and key in _BOUND_CHECKS:
-        return _BOUND_CHECKS[key]
-    small = df.limit(max_rows + 1).count() <= max_rows
-    if key is not None:
-        _BOUND_CHECKS[key] = small
-    return small
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int, cache_key: str | None = None) -> DataFrame:
-    """Broadcast ``df`` only when it provably holds at most ``max_rows`` rows;
-    above the bound the frame is returned unchanged and the planner (AQE
-    included) picks a shuffle join."""
-    return F.broadcast(df) if is_bounded(df, max_rows, cache_key) else df
-
-
 class Tables:
     """Lazy accessor: ``Tables(spark, sf_dir).orders``."""
 

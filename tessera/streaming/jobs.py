@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators.cost import call_cost, clean_tokens
 from tessera.operators.text import chunk_documents
+from tessera.sources.files import CALL_LOG_SCHEMA
 
 WATERMARK = "1 day"
 WINDOW = "1 day"
@@ -36,13 +38,19 @@ def run_available(stream: DataFrame, sink: str, checkpoint: str, transform=None,
 
 def incremental_chunks(spark: SparkSession, landing: str, schema: T.StructType, sink: str, checkpoint: str,
                        max_files: int = 64) -> None:
-    """Chunk newly arrived documents (in place of the full refresh)."""
+    """Chunk newly arrived documents (in place of the full refresh).  A
+    document that is delivered again replaces its chunks (``latest_documents``).
+    ``max_files`` only throttles a micro-batch."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(landing)
     run_available(stream, sink, checkpoint, transform=chunk_documents)
 
 
-def read_batches(spark: SparkSession, sink: str) -> DataFrame:
-    return spark.read.parquet(sink)
+def latest_documents(spark: SparkSession, sink: str, key="doc_id") -> DataFrame:
+    """The chunks of every document's latest delivery; a null key is a key."""
+    rows = spark.read.parquet(sink)
+    latest = rows.groupBy(F.col(key).alias("_k")).agg(F.max("batch_id").alias("_last"))
+    return rows.join(latest, F.col(key).eqNullSafe(F.col("_k")) & (F.col("batch_id") == F.col("_last"))).drop(
+        "_k", "_last", "batch_id")
 
 
 def event_instant(ts: str) -> F.Column:
@@ -59,24 +67,27 @@ def window_day(c: str) -> F.Column:
                          "yyyy-MM-dd")
 
 
-def windowed_event_stats(spark: SparkSession, landing: str, schema: T.StructType, sink: str,
-                         checkpoint: str, ts="ts", kind="event_type", value="value") -> None:
-    """Per day and type, events and value, as an update-mode stream.
+def windowed_call_cost(spark: SparkSession, landing: str, sink: str, checkpoint: str) -> None:
+    """Per day and agent, calls, tokens and their price (K1 on the sums),
+    from the JSON-lines call log, as an update-mode stream.
 
-    Late-data policy: the watermark trails the largest event time seen by
-    ``WATERMARK``; an event older than that when it arrives is dropped and the
-    window it belonged to is final.  Each micro-batch emits the windows it
-    changed (update mode)."""
-    stream = spark.readStream.schema(schema).parquet(landing).withColumn("_evt", event_instant(ts))
+    Late-data policy: the watermark trails the largest call time seen by
+    ``WATERMARK``; a call older than that when it arrives is dropped and the
+    window it belonged to is final.  Malformed lines are no calls.  Each
+    micro-batch emits the windows it changed (update mode)."""
+    stream = (spark.readStream.schema(CALL_LOG_SCHEMA).option("columnNameOfCorruptRecord", "malformed").json(landing)
+              .where("malformed IS NULL").withColumn("_evt", event_instant("timestamp")))
     agg = (
         stream.withWatermark("_evt", WATERMARK)
-        .groupBy(F.window("_evt", WINDOW).alias("w"), kind)
-        .agg(F.count(F.lit(1)).alias("n_events"), F.sum(F.col(value).cast("decimal(18,2)")).alias("total_value"))
+        .groupBy(F.window("_evt", WINDOW).alias("w"), "agent")
+        .agg(F.count(F.lit(1)).alias("n_calls"), F.sum(clean_tokens("input_tokens")).alias("input_tokens"),
+             F.sum(clean_tokens("output_tokens")).alias("output_tokens"))
     )
-    run_available(agg, sink, checkpoint, mode="update")
+    run_available(agg.withColumn("cost_usd", call_cost("input_tokens", "output_tokens")), sink, checkpoint,
+                  mode="update")
 
 
-def latest_windows(spark: SparkSession, sink: str, kind="event_type") -> DataFrame:
+def latest_windows(spark: SparkSession, sink: str, kind="agent") -> DataFrame:
     """Upsert view of an update-mode sink: per window and key, the row of the
     latest batch that touched it."""
     df = spark.read.parquet(sink)
