@@ -18,22 +18,28 @@ LOG = [
 
 
 def test_log_append_read_price_and_runs(spark, tmp_path):
+    import datetime as dt
+
     df = spark.createDataFrame(LOG, "timestamp string, query string, agent string, input_tokens long, "
                                     "output_tokens long")
     priced = K.priced(df)
     path = str(tmp_path / "log")
     S.append_jsonl(priced.limit(2), path)
     S.append_jsonl(priced.subtract(priced.limit(2)), path)
-    back = S.read_call_log(spark, path)
-    assert back.schema == S.CALL_LOG_SCHEMA
+    (tmp_path / "log" / "bad.json").write_text('not json\n{"query": "q", "input_tokens": "many"}\n')
+    lines = S.read_call_log(spark, path)
+    assert lines.schema == S.CALL_LOG_SCHEMA
+    bad = [r["malformed"] for r in lines.collect() if r["malformed"]]
+    assert sorted(bad) == ["not json", '{"query": "q", "input_tokens": "many"}']
+    back = lines.where("malformed IS NULL").drop("malformed").cache()
     assert back.count() == 5
     rows = {r["timestamp"]: r for r in back.collect()}
-    assert rows["2026-10-08T16:47:00.100000"]["cost_usd"] == 0.000147
-    assert rows["2026-10-08T16:50:08.500000"]["cost_per_1000_queries"] == 2.95
+    assert rows[dt.datetime(2026, 10, 8, 16, 47, 0, 100000)]["cost_usd"] == 0.000147
+    assert rows[dt.datetime(2026, 10, 8, 16, 50, 8, 500000)]["cost_per_1000_queries"] == 2.95
 
     # X1 on the log: a classifier record opens a run; order of writes = time
     runs = number_runs(
-        back.select(F.lit(0).alias("user_id"), F.to_timestamp_ntz("timestamp").alias("ts"),
+        back.select(F.lit(0).alias("user_id"), F.col("timestamp").alias("ts"),
                     F.col("timestamp").alias("event_id"), "agent"),
         F.col("agent") == "manager-classifier")
     assert [r["run_no"] for r in runs.orderBy("ts").collect()] == [1, 1, 2, 2, 2]

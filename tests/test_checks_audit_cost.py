@@ -18,6 +18,9 @@ AUDIT_CASES = [
     ("SELECT update_ts FROM t", "SELECT update_ts FROM t", True, "OK"),
     ("EXPLAIN t", "EXPLAIN t", False, "Only SELECT or WITH queries are permitted."),
     ("SELECT 1 ;; ", "SELECT 1", True, "OK"),
+    ("SELECT TRANSFORM(id) USING 'cat' AS (x) FROM t", None, False, "Blocked script call"),
+    ("SELECT transform(a, x -> x + 1) FROM t", "SELECT transform(a, x -> x + 1) FROM t", True, "OK"),
+    (None, "", False, "Only SELECT or WITH queries are permitted."),
     ("SELECT java_method('java.lang.System', 'exit', 0)", None, False, "Blocked keyword: JAVA_METHOD"),
 ]
 
@@ -34,13 +37,6 @@ def test_audit_case_table(spark):
     assert by_sql["DROP TABLE x; SELECT 1"]["discarded_prefix"] == "DROP TABLE x; "
 
 
-def test_column_judge_equals_frame_audit(spark):
-    df = spark.createDataFrame([(c[0],) for c in AUDIT_CASES], "sql string")
-    a = {r["sql"]: r["reason"] for r in G.audit(df, "sql").collect()}
-    b = {r["sql"]: r["j"]["reason"] for r in df.select("sql", G.judge_sql("sql").alias("j")).collect()}
-    assert a == b
-
-
 def test_guarded_run_statuses(spark):
     spark.range(250).createOrReplaceTempView("guard_t")
     ok = G.run_guarded(spark, "```sql\nSELECT id FROM guard_t;\n```")
@@ -50,8 +46,15 @@ def test_guarded_run_statuses(spark):
     assert blocked.status == "FAILED" and blocked.rows is None
     err = G.run_guarded(spark, "SELECT nope FROM guard_t")
     assert err.status == "ERROR"
-    files = G.run_guarded(spark, "SELECT * FROM parquet.`/root/testdata/sf0.001/region.parquet`")
-    assert files.status == "ERROR"  # runSQLOnFiles is off while planning
+    late = G.run_guarded(spark, "SELECT 1 / (id - id) AS x FROM guard_t")  # fails while it runs
+    assert late.status == "ERROR" and late.rows is None and late.reason
+    for refused in ("SELECT * FROM parquet.`/root/testdata/sf0.001/region.parquet`", None,
+                    "SELECT TRANSFORM(id) USING 'cat' AS (x) FROM guard_t",
+                    "SELECT * FROM (MAP id USING 'cat' AS x FROM guard_t)"):
+        assert G.run_guarded(spark, refused).status == "FAILED", refused
+    assert G.run_guarded(spark, "SELECT transform(array(id), x -> x + 1) AS a FROM guard_t").status == "PASSED"
+    ordered = G.run_guarded(spark, "SELECT id FROM guard_t ORDER BY id DESC")
+    assert [r["id"] for r in ordered.rows.collect()] == list(range(249, 149, -1))
 
 
 GROUNDING = [
@@ -79,10 +82,11 @@ def test_grounding_case_table(spark):
 
 
 def test_sql_status_and_routes(spark):
-    df = spark.createDataFrame([("PASSED",), ("FAILED",), ("ERROR",)], "status string")
+    df = spark.createDataFrame([("PASSED",), ("FAILED",), ("ERROR",), (None,)], "status string")
     out = {r["status"]: r for r in V.validate_sql_status(df).collect()}
     assert out["PASSED"]["flag"] is False and out["PASSED"]["warning"] is None
     assert out["FAILED"]["sql_blocked"] and out["ERROR"]["execution_error"]
+    assert out[None]["flag"] and not out[None]["sql_validated"] and out[None]["warning"]
     assert out["ERROR"]["warning"] == "SQL validation status: ERROR"
     raw = spark.createDataFrame([(" Both\n",), ("QUANTITATIVE",), ("maybe",)], "raw string")
     routed = V.fan_out(raw.select("raw", V.clean_route("raw").alias("route")))
@@ -114,12 +118,20 @@ def test_totals_and_missing_tokens(spark):
     assert [r[0] for r in k5.select(K.two_call_tokens("s", "g", "e")).collect()] == [7, 3]
 
 
-@pytest.mark.parametrize("exact", [True, False])
-def test_profile(spark, exact):
+def test_profile(spark):
     df = spark.createDataFrame([(1, "a"), (2, None), (2, "a")], "x int, y string")
-    out = {r["column_name"]: r for r in G.profile(df, "t", exact=exact).collect()}
+    out = {r["column_name"]: r for r in G.profile(df, "t", exact=["x"]).collect()}
     assert out["x"]["row_count"] == 3 and out["y"]["null_values"] == 1
-    assert out["x"]["distinct_values"] == 2 and out["y"]["distinct_values"] == 1
+    assert out["x"]["distinct_values"] == 2 and out["y"]["distinct_values"] is None
+    assert out["y"]["distinct_estimate"] == 1
+
+
+def test_discovery(spark, tmp_path):
+    from tessera.sources.tables import discover
+
+    for name in ("b.parquet", "a.parquet", "notes"):
+        (tmp_path / name).mkdir()
+    assert discover(spark, str(tmp_path)) == ["a", "b"]
 
 
 def test_guarded_statement_over_registered_tables(spark):

@@ -43,6 +43,34 @@ def test_run_numbers_match_sequential_scan(spark):
     assert got == expected
 
 
+def test_runs_keep_rows_without_user_or_time(spark):
+    from tessera.operators.sessions import run_summary
+
+    t = dt.datetime(2024, 1, 1)
+    rows = [(1, t, 1, "signup", 1.0), (2, None, 1, "view", 1.0), (3, t, None, "view", 1.0)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double")
+    assert sum(r["n_events"] for r in run_summary(df, F.col("event_type") == "signup").collect()) == 3
+
+
+def test_file_names_are_not_retyped(spark, tmp_path):
+    df = spark.createDataFrame([("007", "a"), ("010", "b"), ("1e3", "c\nd")], "filename string, text string")
+    S.write_documents_as_files(df, str(tmp_path / "d"))
+    assert sorted(map(tuple, S.read_documents_from_files(spark, str(tmp_path / "d")).collect())) == sorted(
+        map(tuple, df.collect()))
+
+
+def test_redelivered_document_replaces_its_chunks(spark, tmp_path):
+    from tessera.streaming import jobs as X
+
+    schema = "doc_id long, source string, text string"
+    landing, sink, ckpt = (str(tmp_path / n) for n in ("l", "s", "c"))
+    for rows in ([(1, "a", "old " * 600), (2, "a", "kept"), (None, "a", "no key")], [(1, "a", "new")]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(landing)
+        X.incremental_chunks(spark, landing, spark.createDataFrame([], schema).schema, sink, ckpt)
+    got = sorted((str(r["doc_id"]), r["text"]) for r in X.latest_documents(spark, sink).collect())
+    assert got == [("1", "new"), ("2", "kept"), ("None", "no key")]
+
+
 @pytest.mark.slow
 def test_all_queries_match_oracle_sf0001(spark):
     sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(__file__)), "tools"))
