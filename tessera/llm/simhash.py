@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import col, packed, stored
@@ -182,13 +182,12 @@ def _links(fps: DataFrame, above: list[str], free: tuple[int, int], max_bits: in
     rows = fps.select(*above, "fp", F.explode(kinds).alias("s")).select(
         *above, F.col("s.i").alias(names[-2]), F.col("fp").bitwiseAND(F.col("s.mask")).alias(names[-1]), "fp"
     )
-    # Sizes first: no group is gathered before its size is known, and most
-    # signatures have one fingerprint or two, which need no gathering.
-    sizes = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
-    sizes = stored(sizes.where("n > 1"), f"simhash-sizes{depth}")
-    pairs = sizes.where("n = 2").select("a", "b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-    larger = sizes.where("n > 2").select(*names, "n")
-    met = stored(rows.join(larger, names), f"simhash-met{depth}")
+    # Sizes first: a window counts every group as it streams by (its buffer
+    # spills), and only the few rows that meet others go on.
+    n = F.count(F.lit(1)).over(Window.partitionBy(*names))
+    met = stored(rows.withColumn("n", n).where("n > 1"), f"simhash-met{depth}")
+    pairs = met.where("n = 2").groupBy(*names).agg(F.min("fp").alias("a"), F.max("fp").alias("b")).select("a", "b")
+    pairs = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
     deleted = [bit for _, _, bit in sigs]
 
     def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +199,7 @@ def _links(fps: DataFrame, above: list[str], free: tuple[int, int], max_bits: in
             edges = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
 
-    groups = met.where(F.col("n") <= limit).groupBy(*names).agg(F.collect_list("fp").alias("fps"))
+    groups = met.where(F.col("n").between(3, limit)).groupBy(*names).agg(F.collect_list("fp").alias("fps"))
     out = pairs.unionByName(groups.select(names[-2], "fps").mapInArrow(forests, "a bigint, b bigint"))
     hot = met.where(F.col("n") > limit)
     if hot.isEmpty():
