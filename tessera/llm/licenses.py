@@ -55,9 +55,9 @@ FAMILIES = (
     ("gpl-1.0", "gpl", r"gpl ?v?1(?: 0)?"),
     ("gpl-2.0", "gpl", r"(?:gnu )?gpl(?: version)? ?v?2(?: 0)?"),
     ("gpl-3.0", "gpl", r"(?:gnu )?gpl(?: version)? ?v?3(?: 0)?"),
-    ("gpl-2.0-text", "general public", r"(?:gnu )?general public licen[sc]e(?: as published by the free software foundation)?(?: either)? (?:version|v) ?2(?: 0)?"),
-    ("gpl-3.0-text", "general public", r"(?:gnu )?general public licen[sc]e(?: as published by the free software foundation)?(?: either)? (?:version|v) ?3(?: 0)?"),
-    ("gpl-any", "general public", r"gnu general public|gnu gpl"),
+    ("gpl-2.0", "general public", r"(?:gnu )?general public licen[sc]e(?: as published by the free software foundation)?(?: either)? (?:version|v) ?2(?: 0)?"),
+    ("gpl-3.0", "general public", r"(?:gnu )?general public licen[sc]e(?: as published by the free software foundation)?(?: either)? (?:version|v) ?3(?: 0)?"),
+    ("gpl", "general public", r"gnu general public|gnu gpl"),
     ("lgpl-2.1", "lesser", r"(?:gnu )?lesser general public licen[sc]e(?: (?:version|v) ?2 1)"),
     ("lgpl-3.0", "lesser", r"(?:gnu )?lesser general public licen[sc]e(?: (?:version|v) ?3(?: 0)?)"),
     ("lgpl", "lgpl", r"(?:gnu )?lgpl(?: ?v?[23](?: [01])?)?"),
