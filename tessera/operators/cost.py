@@ -53,12 +53,23 @@ def priced(df: DataFrame, inp="input_tokens", out="output_tokens") -> DataFrame:
 def with_totals(calls: DataFrame, query="query", agent="agent", inp="input_tokens",
                 out="output_tokens") -> DataFrame:
     """K3: per question, sum the (cleaned) tokens of its calls and price the
-    sums, as an extra row with agent 'TOTAL' beside the detail rows."""
-    detail = priced(calls.select(query, agent, inp, out), inp, out)
-    totals = calls.groupBy(query).agg(
-        F.sum(clean_tokens(inp)).alias(inp), F.sum(clean_tokens(out)).alias(out))
-    totals = priced(totals.select(query, F.lit(TOTAL_AGENT).alias(agent), inp, out), inp, out)
-    return detail.unionByName(totals)
+    sums, as an extra row with agent 'TOTAL' beside the detail rows.
+
+    One pass over the calls: both groupings come from one aggregate (combined
+    before the shuffle), in which equal detail rows are counted and given back.
+    """
+    one = calls.select(query, agent, clean_tokens(inp).alias(inp), clean_tokens(out).alias(out),
+                       clean_tokens(inp).alias("_i"), clean_tokens(out).alias("_o"))
+    keys = [query, agent, inp, out]
+    both = one.groupingSets([keys, [query]], *keys).agg(
+        F.grouping_id().alias("_g"), F.count(F.lit(1)).alias("_n"), F.sum("_i").alias("_i"), F.sum("_o").alias("_o"))
+    total = F.col("_g") > 0
+    rows = both.select(
+        query, F.when(total, F.lit(TOTAL_AGENT)).otherwise(F.col(agent)).alias(agent),
+        F.when(total, F.col("_i")).otherwise(F.col(inp)).alias(inp),
+        F.when(total, F.col("_o")).otherwise(F.col(out)).alias(out),
+        F.explode(F.sequence(F.lit(1).cast("long"), F.when(total, F.lit(1).cast("long")).otherwise(F.col("_n")))).alias("_k"))
+    return priced(rows.drop("_k"), inp, out)
 
 
 def two_call_tokens(status, gen, exp) -> Column:

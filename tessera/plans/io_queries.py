@@ -43,6 +43,16 @@ def sink_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("filename", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+def text_folder(spark: SparkSession, sf: str) -> DataFrame:
+    """A flat folder of text files (the documents, a line end after each),
+    read whole file by file; what comes back is counted."""
+    path = scratch_path(spark, "text-folder")
+    Tables(spark, sf).documents.select(F.coalesce("text", F.lit("")).alias("text")).write.text(path)
+    files = S.read_text_folder(spark, path)
+    return files.agg(F.sum(F.length("text")).alias("n_chars"),
+                     F.sum(F.regexp_count("text", F.lit("\n"))).cast("long").alias("n_line_ends"))
+
+
 def chunk_store(spark: SparkSession, sf: str) -> DataFrame:
     """The chunk collection refreshed in full (partitioned by source) and
     read back."""
@@ -116,6 +126,7 @@ QUERIES = {
     "run_sessions": run_sessions,
     "run_stages": run_stages,
     "sink_roundtrip": sink_roundtrip,
+    "text_folder": text_folder,
     "chunk_store": chunk_store,
     "call_log_roundtrip": call_log_roundtrip,
     "stream_chunks": stream_chunks,
@@ -136,6 +147,8 @@ SELECT user_id, run_no, COUNT(*) AS n_events, run_no > 0 AS opened_by_signup,
 FROM r GROUP BY user_id, run_no""",
     "sink_roundtrip": """SELECT source || '_' || lang || '_' || doc_id::VARCHAR || '.txt' AS filename,
   CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS text_md5 FROM documents""",
+    "text_folder": """SELECT CAST(SUM(length(coalesce(text, '')) + 1) AS BIGINT) AS n_chars,
+  CAST(SUM(length(text) - length(replace(text, chr(10), ''))) + COUNT(*) AS BIGINT) AS n_line_ends FROM documents""",
     "chunk_store": f"WITH {SQL_CHUNKS} SELECT * FROM chunks",
     "run_stages": """WITH e AS (SELECT *, CAST(event_type = 'signup' AS INTEGER) AS o FROM events),
 r AS (SELECT *, CAST(SUM(o) OVER (PARTITION BY user_id ORDER BY ts, event_id

@@ -18,7 +18,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 KEEP = ("Exchange", "Join", "Aggregate", "Window", "MapInPandas", "ArrowEvalPython", "FileScan",
         "TakeOrderedAndProject", "Expand", "Generate", "Union", "Sort ")
-SKIP = {"sink_roundtrip", "chunk_store", "call_log_roundtrip", "stream_chunks", "stream_cost",
+SKIP = {"sink_roundtrip", "text_folder", "chunk_store", "call_log_roundtrip", "stream_chunks", "stream_cost",
         "guarded_sql", "guarded_preview", "guarded_status"}
 LINES = 40  # of a query; the rest is counted
 
