@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import byte_words, col, stored
 
 STRETCH = 1024  # blocks of the lower level of the prefix scan
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 HEAD = 5  # tokens before a document's own that write its id
 WORD_IDS = 65_535  # ids 1.. of the words; 0 ends a document
 
@@ -86,6 +86,12 @@ def blocks_of(spark: SparkSession, path: str, block_bytes: int, width: int) -> D
     return cut.select("file", "bytes", "block", (F.col("block") * block_bytes).alias("at"), F.least(F.lit(block_bytes).cast("bigint"), F.col("bytes") - F.col("block") * block_bytes).alias("size"))
 
 
+_BLOCK = pa.schema([
+    ("file", pa.string()), ("block", pa.int64()), ("last", pa.bool_()), ("n_end", pa.int64()), ("last_end", pa.int64()),
+    ("ends", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("heads", pa.list_(pa.list_(pa.int64()))), ("tokens", pa.int64()),
+])
+
+
 def count_tokens(spark: SparkSession, path: str, eod: int = 0, width: int = 2, head: int = 0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(file, document, start, n_tokens, head, ended): every document of the flat
     files, with its place, its number of tokens, and its first ``head`` ids."""
@@ -106,13 +112,15 @@ def count_tokens(spark: SparkSession, path: str, eod: int = 0, width: int = 2, h
                 n, first = r["size"] // width, r["at"] // width
                 ends = np.flatnonzero(data[:n] == eod)
                 starts = np.concatenate([[0], ends + 1]) if r["at"] == 0 else ends + 1
-                heads = [data[s : s + head].tolist() for s in starts.tolist()] if head else [[]] * len(starts)
-                yield pa.RecordBatch.from_pylist(
-                    [{"file": r["file"], "block": r["block"], "last": r["at"] + r["size"] == r["bytes"], "n_end": len(ends), "last_end": int(ends[-1]) + first if len(ends) else None,
-                      "ends": (ends + first).tolist(), "starts": (starts + first).tolist(), "heads": heads, "tokens": r["bytes"] // width}],
-                    schema=pa.schema([("file", pa.string()), ("block", pa.int64()), ("last", pa.bool_()), ("n_end", pa.int64()), ("last_end", pa.int64()), ("ends", pa.list_(pa.int64())),
-                                      ("starts", pa.list_(pa.int64())), ("heads", pa.list_(pa.list_(pa.int64()))), ("tokens", pa.int64())]),
-                )
+                places = starts[:, None] + np.arange(head)[None, :]
+                there = places < len(data)
+                heads = data[places[there]].astype(np.int64)
+                offsets = np.concatenate([[0], np.cumsum(there.sum(axis=1))]).astype(np.int32)
+                row = {"file": r["file"], "block": r["block"], "last": r["at"] + r["size"] == r["bytes"], "n_end": len(ends),
+                       "last_end": int(ends[-1]) + first if len(ends) else None, "tokens": r["bytes"] // width}
+                lists = {"ends": pa.array(ends + first), "starts": pa.array(starts + first), "heads": pa.ListArray.from_arrays(pa.array(offsets), pa.array(heads))}
+                columns = [pa.array([row[f.name]], f.type) if f.name in row else pa.ListArray.from_arrays(pa.array([0, len(lists[f.name])], pa.int32()), lists[f.name]) for f in _BLOCK]
+                yield pa.RecordBatch.from_arrays(columns, schema=_BLOCK)
 
     plan = blocks_of(spark, path, block_bytes, width).repartition("file", "block")
     found = stored(
