@@ -19,7 +19,7 @@ execution splits where one host is crowded.
 
 Defined results: a null url, or one without ``://``, has an empty host and path,
 fits no rule, and gets the verdict of the empty set of words: allow.  Repeated
-rows get equal results; ties are allowed.  Without any rule-decided url the words
+rows get equal results.  Without any rule-decided url the words
 listed are all there is to learn.
 """
 
@@ -39,8 +39,9 @@ from tessera.llm.common import col, stored
 
 LONGEST_WORD = 20  # letters of a word in a host name
 FEATURES = 1 << 16
+BLOCK_FROM = 0.95  # score; blocking without a rule needs strong evidence
 SMOOTHING = 0.05  # weight of the overall shares
-MARKED_SHARE = 0.002  # of the blocked class's words that each marked word counts as
+MARKED_SHARE = 0.01  # of the blocked class's words that each marked word counts as
 MARKED = (
     "adult", "bet", "bets", "betting", "casino", "escort", "gambling", "jackpot", "keygen", "lottery", "nude", "nudes", "pharmacy", "pills",
     "poker", "porn", "porno", "replica", "sex", "sexy", "slots", "spam", "torrent", "viagra", "warez", "webcam", "xxx",
@@ -202,5 +203,5 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     ruled = met.withColumn("verdict", verdict_of[F.col("rule")])
     odds = fit(ruled.where("verdict IS NOT NULL").select("tokens", "verdict"))
     scored = ruled.withColumn("score", block_score(F.col("tokens"), odds, spark))
-    verdict = F.coalesce("verdict", F.when(F.col("score") > 0.5, "block").otherwise("allow"))
+    verdict = F.coalesce("verdict", F.when(F.col("score") >= BLOCK_FROM, "block").otherwise("allow"))
     return scored.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), F.coalesce("words", F.array().cast("array<string>")).alias("host_words"), "score")

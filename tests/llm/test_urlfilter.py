@@ -1,6 +1,10 @@
 import itertools
 import math
+import re
+from collections import Counter
 
+import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import urlfilter
@@ -59,17 +63,35 @@ def test_query(spark):
         host, path = plain_parts(urls[r.page_id])
         rule = plain_rule(host, path)
         assert (r.host, r.path, r.rule) == (host, path, rule.name if rule else None)
-        assert r.verdict == (rule.verdict if rule else ("block" if r.score > 0.5 else "allow"))
+        assert r.verdict == (rule.verdict if rule else ("block" if r.score >= urlfilter.BLOCK_FROM else "allow"))
         split[host] = r.host_words
     for host, words in list(split.items())[:40]:
         want = []
-        for run in [x for x in __import__("re").split(r"[\W\d_]+", host) if x]:
+        for run in [x for x in re.split(r"[\W\d_]+", host) if x]:
             parts = {(i, n): counts[run[i : i + n]] for i in range(len(run)) for n in range(1, min(20, len(run) - i) + 1) if run[i : i + n] in counts}
             want += urlfilter.best_split(run, parts, total)
         assert words == want
-    # the learnt weights again, by plain counting
-    marked = [r for r in got if set(r.host_words) & set(urlfilter.MARKED) and r.rule is None]
-    assert all(r.verdict == "block" for r in marked)
+    # the learnt weights and the scores again, by plain counting
+    tokens = [["h:" + w for w in r.host_words] + ["p:" + w for w in re.findall(r"[^\W_]+", re.sub("[0-9]+", "0", r.path.lower()))] for r in got]
+    bad, good = Counter(), Counter()
+    for r, t in zip(got, tokens):
+        if r.rule:
+            (bad if r.verdict == "block" else good).update(map(feature, t))
+    each = max(1.0, urlfilter.MARKED_SHARE * sum(bad.values()))
+    for w in urlfilter.MARKED:
+        bad[feature("h:" + w)] += each
+    n_bad, n_good = sum(bad.values()), sum(good.values())
+    for r, t in zip(got, tokens):
+        odds = 0.0
+        for f in map(feature, t):
+            overall = urlfilter.SMOOTHING * (bad[f] + good[f] + 1) / (n_bad + n_good + urlfilter.FEATURES)
+            odds += math.log(bad[f] / n_bad + overall) - math.log(good[f] / n_good + overall)
+        assert abs(r.score - 1 / (1 + math.exp(-odds))) < 1e-9
+
+
+def feature(token):
+    """Spark's xxhash64 (seed 42, signed) modulo the number of features."""
+    return int(np.uint64(xxhash.xxh64_intdigest(token.encode(), 42)).astype(np.int64)) % urlfilter.FEATURES
 
 
 def test_odd_urls(spark):
