@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import col, stored
 
+RUN_PAGES = 500  # pages held as Python objects at once
+
 # ----------------------------------------------------------------- parsing
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -243,8 +245,12 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", ke
 
     @F.arrow_udf("struct<lines:array<string>,kinds:array<int>>")
     def parse(pages_: pa.Array) -> pa.Array:
-        found = [page_lines(h.as_py()) for h in pages_]
-        return pa.array([{"lines": [x for x, _ in f], "kinds": [k for _, k in f]} for f in found], pa.struct([("lines", pa.list_(pa.string())), ("kinds", pa.list_(pa.int32()))]))
+        kind = pa.struct([("lines", pa.list_(pa.string())), ("kinds", pa.list_(pa.int32()))])
+        parts = [pa.array([], kind)]
+        for at in range(0, len(pages_), RUN_PAGES):
+            found = (page_lines(h.as_py()) for h in pages_[at : at + RUN_PAGES])
+            parts.append(pa.array([{"lines": [x for x, _ in f], "kinds": [k for _, k in f]} for f in found], kind))
+        return pa.concat_arrays(parts)
 
     host, path = host_and_path(col(url_col))
     parsed = pages.select(F.struct(*[col(c) for c in keep]).alias("kept"), host.alias("host"), path.alias("path"), parse(col(html_col)).alias("p"))
@@ -261,7 +267,7 @@ def text_of(parsed: Column, shared: Column) -> Column:
 
     @F.arrow_udf("string")
     def run(parsed_: pa.Array, shared_: pa.Array) -> pa.Array:
-        return pa.array([kept_text(p["lines"], p["kinds"], s or []) for p, s in zip(parsed_.to_pylist(), shared_.to_pylist())], pa.string())
+        return pa.array((kept_text(p["lines"], p["kinds"], s or []) for p, s in ((a.as_py(), b.as_py()) for a, b in zip(parsed_, shared_))), pa.string())
 
     return run(parsed, shared)
 

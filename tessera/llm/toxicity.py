@@ -48,6 +48,7 @@ PIECE = 24  # tokens of a training piece
 FIT_PIECES = 12_000  # training pieces at most
 LEAST_SEEN = 6  # surroundings of a toxic word or beginning in the fitting sample
 LEAST_LIFT = 3.5  # its log odds over the statistics sample, toxic against clean
+RUN_WORDS = 400_000  # words of consecutive documents scored side by side
 MEMO_ENTRIES = 200_000  # words remembered per Python worker
 THRESHOLD = 0.7
 
@@ -326,12 +327,17 @@ def tag(text: Column, model: Model, spark) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own, memo = shared.value, {}
         for texts in batches:
-            scores, spans = [], []
-            for at in range(0, len(texts), 1000):
-                some = texts[at : at + 1000].to_pylist()
-                for t, p in zip(some, own.marginals([byte_words(t) for t in some], memo)):
+            scores, spans, run_ = [], [], []
+            size = 0
+            for i, t in enumerate(texts):
+                run_.append((t.as_py(), byte_words(t.as_py())))
+                size += len(run_[-1][1])
+                if size < RUN_WORDS and i + 1 < len(texts):
+                    continue
+                for (t_, _), p in zip(run_, own.marginals([w for _, w in run_], memo)):
                     scores.append(own.score(p))
-                    spans.append(offsets(t, p >= 0.5) if own.curve is not None and len(p) and p.max() >= 0.5 else [])
+                    spans.append(offsets(t_, p >= 0.5) if own.curve is not None and len(p) and p.max() >= 0.5 else [])
+                run_, size = [], 0
             yield pa.StructArray.from_arrays([pa.array(scores, pa.float64()), pa.array(spans, spans_type)], ["score", "spans"])
 
     return run(text)
