@@ -191,7 +191,8 @@ class ByteBpe:
         def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             own = codec(shared, pattern, key)
             for lists in batches:
-                yield pa.array((own.decode(x.as_py()) if x.is_valid else None for x in lists), pa.binary())
+                # as_py() would make a scalar of every id
+                yield pa.array((own.decode(x.values.to_numpy().tolist()) if x.is_valid else None for x in lists), pa.binary())
 
         self._encode, self._decode = encode, decode
 
