@@ -4,8 +4,9 @@ A text is reduced to its words: A-Z lower-cased, everything between words one
 space.  Rules are regular expressions over words.  They come from families
 (a label, a keyword and the forms of the license's name) and templates (how a
 notice is worded), each with a priority: 0 is the strongest.  A text is
-prefiltered twice by keywords: one of ``GATES`` must occur at all, and a
-family's rules run only if its keyword occurs.
+prefiltered by keywords: a rule runs only if its keyword occurs, and no text is
+scanned that holds none of them (``GATES``).  Every text that a rule matches
+holds its keyword, so the prefilter changes no result.
 
 All rules that are left look for the places where one of them matches, from left
 to right.  At a place every matching rule gives a detection, an interval of
@@ -35,60 +36,61 @@ from tessera.llm.common import col
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LONGEST = 400  # characters; no rule's match is longer
 
-# Words of which a text must hold one before any rule is tried.
-GATES = ("licen", "copyright", "copyleft", "rights reserved", "public domain", "cc by", "cc0", "spdx", "general public", "creative commons", "gpl", "without warranty", "unlicense")
-
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
 _V = r"(?: (?:version|v) ?)?"
-# label, keyword, forms of the name
+# label, keyword that every form holds (with the spaces around its words), forms of the name
 FAMILIES = (
-    ("mit", "mit", r"mit|expat"),
-    ("x11", "x11", r"x11|mit x11"),
-    ("isc", "isc", r"isc"),
-    ("apache-1.1", "apache", rf"apache(?: software)?(?: license)?{_V} ?1 1"),
-    ("apache-2.0", "apache", rf"apache(?: software)?(?: licen[sc]e)?{_V} ?2(?: 0)?"),
-    ("bsd-2-clause", "bsd", r"(?:simplified|freebsd|2 clause|two clause) bsd|bsd 2 clause|bsd two clause"),
-    ("bsd-3-clause", "bsd", r"(?:new|modified|revised|3 clause|three clause) bsd|bsd 3 clause|bsd three clause"),
-    ("bsd-4-clause", "bsd", r"(?:original|4 clause|four clause) bsd|bsd 4 clause"),
-    ("bsd", "bsd", r"bsd"),
-    ("gpl-1.0", "gpl", r"gpl ?v?1(?: 0)?"),
-    ("gpl-2.0", "gpl", r"(?:gnu )?gpl(?: version)? ?v?2(?: 0)?"),
-    ("gpl-3.0", "gpl", r"(?:gnu )?gpl(?: version)? ?v?3(?: 0)?"),
-    ("gpl-2.0", "general public", r"(?:gnu )?general public licen[sc]e(?: as published by the free software foundation)?(?: either)? (?:version|v) ?2(?: 0)?"),
-    ("gpl-3.0", "general public", r"(?:gnu )?general public licen[sc]e(?: as published by the free software foundation)?(?: either)? (?:version|v) ?3(?: 0)?"),
-    ("gpl", "general public", r"gnu general public|gnu gpl"),
-    ("lgpl-2.1", "lesser", r"(?:gnu )?lesser general public licen[sc]e(?: (?:version|v) ?2 1)"),
-    ("lgpl-3.0", "lesser", r"(?:gnu )?lesser general public licen[sc]e(?: (?:version|v) ?3(?: 0)?)"),
-    ("lgpl", "lgpl", r"(?:gnu )?lgpl(?: ?v?[23](?: [01])?)?"),
-    ("agpl-3.0", "affero", r"(?:gnu )?affero general public licen[sc]e(?: (?:version|v) ?3(?: 0)?)?"),
-    ("agpl", "agpl", r"(?:gnu )?agpl(?: ?v?3(?: 0)?)?"),
-    ("mpl-1.1", "mozilla", rf"mozilla public licen[sc]e{_V} ?1 1"),
-    ("mpl-2.0", "mozilla", rf"mozilla public licen[sc]e{_V} ?2(?: 0)?"),
-    ("epl-1.0", "eclipse", rf"eclipse public licen[sc]e{_V} ?1(?: 0)?"),
-    ("epl-2.0", "eclipse", rf"eclipse public licen[sc]e{_V} ?2(?: 0)?"),
-    ("cddl-1.0", "cddl", r"cddl(?: ?v?1(?: [01])?)?|common development and distribution licen[sc]e"),
-    ("eupl-1.2", "european union", rf"european union public licen[sc]e{_V}(?: 1 [12])?"),
-    ("artistic-2.0", "artistic", rf"(?:perl )?artistic licen[sc]e{_V}(?: ?[12](?: 0)?)?"),
-    ("bsl-1.0", "boost", rf"boost software licen[sc]e{_V}(?: 1(?: 0)?)?"),
-    ("zlib", "zlib", r"zlib(?: libpng)?"),
-    ("unlicense", "unlicense", r"(?:the )?unlicense"),
-    ("wtfpl", "wtfpl", r"wtfpl"),
-    ("python-2.0", "python", rf"python(?: software foundation)? licen[sc]e{_V}(?: 2(?: 0)?)?"),
-    ("postgresql", "postgresql", r"postgresql"),
-    ("ofl-1.1", "open font", rf"(?:sil )?open font licen[sc]e{_V}(?: 1 1)?"),
-    ("odbl-1.0", "database", rf"open (?:data commons )?(?:open )?database licen[sc]e{_V}(?: 1(?: 0)?)?"),
-    ("cc0-1.0", "cc0", r"cc0(?: 1 0)?(?: universal)?"),
-    ("cc-by-nc-nd", "cc by", r"cc by nc nd(?: [1-4] 0)?"),
-    ("cc-by-nc-sa", "cc by", r"cc by nc sa(?: [1-4] 0)?"),
-    ("cc-by-nc", "cc by", r"cc by nc(?: [1-4] 0)?"),
-    ("cc-by-nd", "cc by", r"cc by nd(?: [1-4] 0)?"),
-    ("cc-by-sa", "cc by", r"cc by sa(?: [1-4] 0)?"),
-    ("cc-by-4.0", "cc by", r"cc by 4 0"),
-    ("cc-by-3.0", "cc by", r"cc by 3 0"),
-    ("creative-commons", "creative commons", r"creative commons(?: attribution)?(?: (?:non ?commercial|share ?alike|no ?derivatives|no ?derivs))*(?: [1-4] 0)?(?: international| unported)?"),
-    ("ms-pl", "microsoft", r"microsoft public|ms pl"),
-    ("proprietary", "proprietary", r"proprietary(?: and confidential)?"),
+    ("mit", " mit ", r"mit"),
+    ("mit", " expat ", r"expat"),
+    ("x11", " x11 ", r"x11|mit x11"),
+    ("isc", " isc ", r"isc"),
+    ("apache-1.1", " apache", rf"apache(?: software)?(?: license)?{_V} ?1 1"),
+    ("apache-2.0", " apache", rf"apache(?: software)?(?: licen[sc]e)?{_V} ?2(?: 0)?"),
+    ("bsd-2-clause", " bsd ", r"(?:simplified|freebsd|2 clause|two clause) bsd|bsd 2 clause|bsd two clause"),
+    ("bsd-3-clause", " bsd ", r"(?:new|modified|revised|3 clause|three clause) bsd|bsd 3 clause|bsd three clause"),
+    ("bsd-4-clause", " bsd ", r"(?:original|4 clause|four clause) bsd|bsd 4 clause"),
+    ("bsd", " bsd ", r"bsd"),
+    ("gpl-1.0", " gpl", r"gpl ?v?1(?: 0)?"),
+    ("gpl-2.0", " gpl", r"(?:gnu )?gpl(?: version)? ?v?2(?: 0)?"),
+    ("gpl-3.0", " gpl", r"(?:gnu )?gpl(?: version)? ?v?3(?: 0)?"),
+    ("gpl-2.0", " general public ", r"(?:gnu )?general public licen[sc]e(?: as published by the free software foundation)?(?: either)? (?:version|v) ?2(?: 0)?"),
+    ("gpl-3.0", " general public ", r"(?:gnu )?general public licen[sc]e(?: as published by the free software foundation)?(?: either)? (?:version|v) ?3(?: 0)?"),
+    ("gpl", " general public ", r"gnu general public"),
+    ("gpl", " gpl ", r"gnu gpl"),
+    ("lgpl-2.1", " lesser general public ", r"(?:gnu )?lesser general public licen[sc]e(?: (?:version|v) ?2 1)"),
+    ("lgpl-3.0", " lesser general public ", r"(?:gnu )?lesser general public licen[sc]e(?: (?:version|v) ?3(?: 0)?)"),
+    ("lgpl", " lgpl", r"(?:gnu )?lgpl(?: ?v?[23](?: [01])?)?"),
+    ("agpl-3.0", " affero general public ", r"(?:gnu )?affero general public licen[sc]e(?: (?:version|v) ?3(?: 0)?)?"),
+    ("agpl", " agpl", r"(?:gnu )?agpl(?: ?v?3(?: 0)?)?"),
+    ("mpl-1.1", " mozilla public ", rf"mozilla public licen[sc]e{_V} ?1 1"),
+    ("mpl-2.0", " mozilla public ", rf"mozilla public licen[sc]e{_V} ?2(?: 0)?"),
+    ("epl-1.0", " eclipse public ", rf"eclipse public licen[sc]e{_V} ?1(?: 0)?"),
+    ("epl-2.0", " eclipse public ", rf"eclipse public licen[sc]e{_V} ?2(?: 0)?"),
+    ("cddl-1.0", " cddl", r"cddl(?: ?v?1(?: [01])?)?"),
+    ("cddl-1.0", " common development and distribution ", r"common development and distribution licen[sc]e"),
+    ("eupl-1.2", " european union public ", rf"european union public licen[sc]e{_V}(?: 1 [12])?"),
+    ("artistic-2.0", " artistic licen", rf"(?:perl )?artistic licen[sc]e{_V}(?: ?[12](?: 0)?)?"),
+    ("bsl-1.0", " boost software ", rf"boost software licen[sc]e{_V}(?: 1(?: 0)?)?"),
+    ("zlib", " zlib ", r"zlib(?: libpng)?"),
+    ("unlicense", " unlicense ", r"(?:the )?unlicense"),
+    ("wtfpl", " wtfpl ", r"wtfpl"),
+    ("python-2.0", " python ", rf"python(?: software foundation)? licen[sc]e{_V}(?: 2(?: 0)?)?"),
+    ("postgresql", " postgresql ", r"postgresql"),
+    ("ofl-1.1", " open font ", rf"(?:sil )?open font licen[sc]e{_V}(?: 1 1)?"),
+    ("odbl-1.0", " database licen", rf"open (?:data commons )?(?:open )?database licen[sc]e{_V}(?: 1(?: 0)?)?"),
+    ("cc0-1.0", " cc0 ", r"cc0(?: 1 0)?(?: universal)?"),
+    ("cc-by-nc-nd", " cc by ", r"cc by nc nd(?: [1-4] 0)?"),
+    ("cc-by-nc-sa", " cc by ", r"cc by nc sa(?: [1-4] 0)?"),
+    ("cc-by-nc", " cc by ", r"cc by nc(?: [1-4] 0)?"),
+    ("cc-by-nd", " cc by ", r"cc by nd(?: [1-4] 0)?"),
+    ("cc-by-sa", " cc by ", r"cc by sa(?: [1-4] 0)?"),
+    ("cc-by-4.0", " cc by ", r"cc by 4 0"),
+    ("cc-by-3.0", " cc by ", r"cc by 3 0"),
+    ("creative-commons", " creative commons ", r"creative commons(?: attribution)?(?: (?:non ?commercial|share ?alike|no ?derivatives|no ?derivs))*(?: [1-4] 0)?(?: international| unported)?"),
+    ("ms-pl", " microsoft public ", r"microsoft public"),
+    ("ms-pl", " ms pl ", r"ms pl"),
+    ("proprietary", " proprietary ", r"proprietary(?: and confidential)?"),
 )
 
 # priority, confidence, wording; {n} is the family's name
@@ -103,13 +105,13 @@ TEMPLATES = (
 
 # Notices of no one family: label, keyword, priority, confidence, expression.
 NOTICES = (
-    ("public-domain", "public domain", 1, 0.9, r"(?:released|placed|dedicated|is|are) (?:in|into|to) the public domain"),
-    ("public-domain", "public domain", 4, 0.5, r"public domain"),
-    ("copyright", "copyright", 3, 0.7, r"copyright (?:c )?(?:19|20)[0-9][0-9](?: (?:19|20)[0-9][0-9])?"),
-    ("copyright", "copyright", 4, 0.4, r"copyright (?:notice|holders?|owners?)"),
-    ("no-warranty", "warranty", 2, 0.6, r"without warrant(?:y|ies)(?: or conditions)? of any kind"),
-    ("as-is", "as is", 2, 0.6, r"(?:provided|distributed) (?:on an )?as is(?: basis)?"),
-    ("no-redistribution", "permission", 2, 0.7, r"(?:no part|may not be reproduced)[a-z ]{0,80} without (?:the )?(?:prior )?(?:written )?permission"),
+    ("public-domain", " public domain ", 1, 0.9, r"(?:released|placed|dedicated|is|are) (?:in|into|to) the public domain"),
+    ("public-domain", " public domain ", 4, 0.5, r"public domain"),
+    ("copyright", " copyright ", 3, 0.7, r"copyright (?:c )?(?:19|20)[0-9][0-9](?: (?:19|20)[0-9][0-9])?"),
+    ("copyright", " copyright ", 4, 0.4, r"copyright (?:notice|holders?|owners?)"),
+    ("no-warranty", " without warrant", 2, 0.6, r"without warrant(?:y|ies)(?: or conditions)? of any kind"),
+    ("as-is", " as is ", 2, 0.6, r"(?:provided|distributed) (?:on an )?as is(?: basis)?"),
+    ("no-redistribution", " permission ", 2, 0.7, r"(?:no part|may not be reproduced)[a-z ]{0,80} without (?:the )?(?:prior )?(?:written )?permission"),
 )
 
 
@@ -129,6 +131,7 @@ def rules() -> list[Rule]:
     return sorted(out, key=lambda r: r.priority)
 
 
+GATES = tuple(sorted({r.keyword for r in rules()}))
 N_PRIORITIES = 5
 
 
@@ -213,17 +216,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         F.struct(F.lit(r.keyword).alias("keyword"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.confidence).alias("confidence"), F.lit(i).alias("place"), F.lit(r.expression).alias("expression"))
         for i, r in enumerate(own)
     ])
-    keywords = F.array(*[F.lit(k) for k in sorted({r.keyword for r in own})])
+    keywords = F.array(*[F.lit(k) for k in GATES])
     # lower() is right beyond A-Z too: it moves no word boundary, and the only
     # other character that becomes a plain ASCII letter is the Kelvin sign.
     words = F.trim(F.regexp_replace(F.lower(F.coalesce(col(text_col), F.lit(""))), SEPARATORS, " "))
     # explode() of one element keeps what follows from computing the words anew
     spaced = docs.select(col(id_col).alias("id"), F.explode(F.array(F.concat(F.lit(" "), words, F.lit(" ")))).alias("body"))
     body = F.col("body")
-    gated = F.lit(False)
-    for gate in GATES:
-        gated = gated | F.contains(body, F.lit(gate))
-    present = F.when(gated, F.filter(keywords, lambda k: F.contains(body, k)))
+    present = F.filter(keywords, lambda k: F.contains(body, k))
     live = F.filter(table, lambda r: F.array_contains(F.col("present"), r["keyword"]))
     keyed = spaced.select("id", "body", F.explode(F.array(present)).alias("present"))
     lively = keyed.select("id", "body", F.explode(F.array(F.when(F.size("present") > 0, live))).alias("live"))

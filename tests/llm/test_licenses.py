@@ -1,4 +1,5 @@
 import re
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -79,3 +80,26 @@ def test_rules():
 def test_no_python_in_the_plan(spark):
     plan = op9_licenses(spark, SF01)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+# Notices in which the words of the old prefilters do not occur, and others.
+PLAIN_NOTICES = [
+    ("released under the WTFPL", "wtfpl"), ("distributed under CDDL", "cddl-1.0"), ("provided on an as is basis", "as-is"), ("proprietary and confidential", "proprietary"),
+    ("may not be reproduced in any form without prior written permission", "no-redistribution"), ("no part of it without the permission", "no-redistribution"),
+    ("common development and distribution license", "cddl-1.0"), ("CDDLv1.1", "cddl-1.0"), ("released under the expat license", "mit"), ("Ms-PL", "ms-pl"), ("Microsoft Public License", "ms-pl"),
+    ("without warranties of any kind", "no-warranty"), ("published under GNU GPL", "gpl"), ("available under GPLv2", "gpl-2.0"), ("subject to the Apache2.0", "apache-2.0"),
+    ("LGPLv3", "lgpl"), ("AGPL3", "agpl"), ("under the MIT/X11 licence", "x11"), ("free under the FreeBSD BSD", "bsd-2-clause"), ("Open Data Commons Open Database Licence 1.0", "odbl-1.0"),
+    ("limit of committees", ""), ("as is the case", ""), ("with permission", ""),
+]
+
+
+def test_prefilters_lose_nothing(spark, docs, monkeypatch):
+    texts = [t for t, _ in PLAIN_NOTICES] + NOTICES + [r.text for r in docs.orderBy("doc_id").limit(4).collect()]
+    got = rows(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    every = [replace(r, keyword="") for r in licenses.rules()]
+    monkeypatch.setattr(licenses, "GATES", ("",))
+    monkeypatch.setattr(licenses, "rules", lambda: every)
+    for text, g in zip(texts, got):
+        assert g == plain(text), text[:200]
+    for (text, label), g in zip(PLAIN_NOTICES, got):
+        assert label in g[5].split(","), text
