@@ -6,7 +6,9 @@ space.  Rules are regular expressions over words.  They come from families
 notice is worded), each with a priority: 0 is the strongest.  A text is
 prefiltered by keywords: a rule runs only if its keyword occurs, and no text is
 scanned that holds none of them (``GATES``).  Every text that a rule matches
-holds its keyword, so the prefilter changes no result.
+holds its keyword, so the prefilter changes no result.  Bare names that are also
+everyday words or names of software (``ALSO_WORDS``; "mit" is German for "with")
+are a rule only beside a word of ``CONTEXT`` somewhere in the text.
 
 All rules that are left look for the places where one of them matches, from left
 to right.  At a place every matching rule gives a detection, an interval of
@@ -93,16 +95,20 @@ FAMILIES = (
     ("proprietary", " proprietary ", r"proprietary(?: and confidential)?"),
 )
 
-# priority, confidence, wording; {n} is the family's name
+BARE = r"{n}"
+# priority, confidence, wording, word that the wording holds; {n} is the family's name
 TEMPLATES = (
-    (0, 1.0, r"spdx licen[sc]e identifier (?:{n})"),
-    (1, 0.95, r"(?:licen[sc]ed|released|distributed|published|provided|available|made available|free) (?:to you )?under(?: the)?(?: terms of)?(?: the)?(?: conditions of the)? (?:{n})(?: licen[sc]e)?"),
-    (1, 0.95, r"subject to(?: the)?(?: terms of)?(?: the)? (?:{n})(?: licen[sc]e)?"),
-    (2, 0.9, r"licen[sc]e (?:{n})|licen[sc]ing terms (?:{n})"),
-    (3, 0.8, r"(?:the )?(?:{n}) licen[sc]e"),
-    (4, 0.5, r"{n}"),
+    (0, 1.0, r"spdx licen[sc]e identifier (?:{n})", "spdx licen"),
+    (1, 0.95, r"(?:licen[sc]ed|released|distributed|published|provided|available|made available|free) (?:to you )?under(?: the)?(?: terms of)?(?: the)?(?: conditions of the)? (?:{n})(?: licen[sc]e)?", " under "),
+    (1, 0.95, r"subject to(?: the)?(?: terms of)?(?: the)? (?:{n})(?: licen[sc]e)?", " subject to "),
+    (2, 0.9, r"licen[sc]e (?:{n})|licen[sc]ing terms (?:{n})", "licen"),
+    (3, 0.8, r"(?:the )?(?:{n}) licen[sc]e", "licen"),
+    (4, 0.5, BARE, ""),
 )
 
+ALSO_WORDS = ("mit", "expat", "x11|mit x11", "isc", "bsd", "zlib(?: libpng)?", "postgresql")
+CONTEXT = ("licen", "copyright", "copyleft", "rights reserved", "public domain", "cc by", "cc0", "spdx", "general public", "creative commons", "gpl", "without warrant")
+
 # Notices of no one family: label, keyword, priority, confidence, expression.
 NOTICES = (
     ("public-domain", " public domain ", 1, 0.9, r"(?:released|placed|dedicated|is|are) (?:in|into|to) the public domain"),
@@ -122,11 +128,19 @@ class Rule:
     priority: int
     confidence: float
     expression: str
+    beside: bool = False  # the keyword is a word of CONTEXT, not one of the match
+    needs: str = ""  # another word of every match
 
 
 def rules() -> list[Rule]:
     """All rules, in their order."""
-    out = [Rule(keyword, label, p, c, wording.format(n=name)) for p, c, wording in TEMPLATES for label, keyword, name in FAMILIES]
+    out = []
+    for p, c, wording, needs in TEMPLATES:
+        for label, keyword, name in FAMILIES:
+            if wording == BARE and name in ALSO_WORDS:
+                out += [Rule(word, label, p, c, name, True) for word in CONTEXT]
+            else:
+                out.append(Rule(keyword, label, p, c, wording.format(n=name), needs=needs))
     out += [Rule(keyword, label, p, c, expression) for label, keyword, p, c, expression in NOTICES]
     return sorted(out, key=lambda r: r.priority)
 
@@ -174,7 +188,7 @@ def base_places(body: Column) -> Column:
 
 def detections(body: Column, live: Column) -> Column:
     """struct<labels, score> of the rules ``live`` over the spaced words."""
-    pieces = _places(body, F.array_join(F.transform(live, lambda r: r["expression"]), "|"))
+    pieces = _places(body, F.array_join(F.array_distinct(F.transform(live, lambda r: r["expression"])), "|"))
     start = F.struct(
         F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("score"),
         F.array_repeat(F.lit(-1).cast("long"), N_PRIORITIES).alias("ends"), F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("chars"),
@@ -213,10 +227,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """The contract's columns for every row of ``docs``."""
     own = rules()
     table = F.array(*[
-        F.struct(F.lit(r.keyword).alias("keyword"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.confidence).alias("confidence"), F.lit(i).alias("place"), F.lit(r.expression).alias("expression"))
+        F.struct(F.lit(r.keyword).alias("keyword"), F.lit(r.needs).alias("needs"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.confidence).alias("confidence"), F.lit(i).alias("place"), F.lit(r.expression).alias("expression"))
         for i, r in enumerate(own)
     ])
-    keywords = F.array(*[F.lit(k) for k in GATES])
+    keywords = F.array(*[F.lit(k) for k in sorted({*GATES, *(r.needs for r in own if r.needs)})])
     # lower() is right beyond A-Z too: it moves no word boundary, and the only
     # other character that becomes a plain ASCII letter is the Kelvin sign.
     words = F.trim(F.regexp_replace(F.lower(F.coalesce(col(text_col), F.lit(""))), SEPARATORS, " "))
@@ -224,7 +238,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     spaced = docs.select(col(id_col).alias("id"), F.explode(F.array(F.concat(F.lit(" "), words, F.lit(" ")))).alias("body"))
     body = F.col("body")
     present = F.filter(keywords, lambda k: F.contains(body, k))
-    live = F.filter(table, lambda r: F.array_contains(F.col("present"), r["keyword"]))
+    live = F.filter(table, lambda r: F.array_contains(F.col("present"), r["keyword"]) & ((r["needs"] == "") | F.array_contains(F.col("present"), r["needs"])))
     keyed = spaced.select("id", "body", F.explode(F.array(present)).alias("present"))
     lively = keyed.select("id", "body", F.explode(F.array(F.when(F.size("present") > 0, live))).alias("live"))
     base = F.when(
