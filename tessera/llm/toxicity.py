@@ -53,6 +53,7 @@ MEMO_ENTRIES = 200_000  # words remembered per Python worker
 THRESHOLD = 0.7
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}  # keeps offsets
 
 
 def word_keys(word: bytes) -> list[bytes]:
@@ -309,7 +310,7 @@ def offsets(text: str, toxic: np.ndarray) -> list[dict[str, int]]:
     """Code-point ranges [start, end) of runs of toxic tokens."""
     out: list[dict[str, int]] = []
     last = False
-    for m, bad in zip(_WORD.finditer(text), toxic.tolist()):
+    for m, bad in zip(_WORD.finditer(text.translate(_LOWER)), toxic.tolist(), strict=True):
         if bad and last:
             out[-1]["end"] = m.end()
         elif bad:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import toxicity
+from tessera.llm.common import WORD_TABLE, byte_words
 from tessera.llm.queries import op7_toxicity, toxicity_model
 
 from .conftest import SF01, crc_remainder
@@ -68,3 +69,12 @@ def test_nothing_to_learn(spark, odd_docs):
     labels = spark.createDataFrame([(1, 1), (1, 1), (2, None), (None, 0)], "doc_id long, toxic int")
     none = toxicity.fit(odd_docs, labels, F.lit(True))
     assert {r.f.score for r in odd_docs.select(toxicity.tag(F.col("text"), none, spark).alias("f")).collect()} == {0.0}
+
+
+def test_offsets_with_capitals():
+    text = "I SAID you are SCUM indeed, Scum É idiot USA"
+    words = byte_words(text)
+    for i, w in enumerate(words):
+        at = toxicity.offsets(text, np.arange(len(words)) == i)
+        assert [text[x["start"] : x["end"]].encode().translate(WORD_TABLE) for x in at] == [w]
+    assert toxicity.offsets(text, np.array([w == b"scum" for w in words])) == [{"start": 15, "end": 19}, {"start": 28, "end": 32}]
