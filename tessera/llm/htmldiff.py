@@ -9,7 +9,8 @@ that the pair shares are the site's, not the page's: they are deleted.
 Differencing alone cannot tell an advert that changes from page to page from the
 article, nor a passage that two articles quote from a shared menu.  Marked-up
 structure decides where it is there: menus, headers, footers, sidebars, notices,
-adverts, forms, scripts and comments go by their element, role, class or id; if
+adverts, forms, scripts and comments go by their element, role, or a whole name in
+class or id (html, body, main and article never go by class or id); if
 a page has an ``article`` (or ``main``) element, its lines are the article's and
 are kept even if shared.  Differencing decides for all other lines.
 
@@ -46,8 +47,9 @@ _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead title tr ul".split()
 )
-_RAW = r"script|style|noscript|template|iframe|svg|canvas|object|textarea|math|audio|video"
-_DROPPED = frozenset("head nav footer aside form button select option menu dialog label fieldset datalist map".split())
+_RAW = r"script|style|template|iframe|svg|canvas|object|textarea|audio|video"
+_DROPPED = frozenset("head nav footer aside form button select option menu dialog label fieldset datalist map annotation annotation-xml".split())
+_FRAMES = frozenset("html body main article".split())  # never unwanted by class or id
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar status".split())
 _NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion promoted banner cookie cookies consent gdpr notice "
@@ -56,7 +58,7 @@ _NAMES = frozenset(
     "disqus footer masthead search searchbox pagination pager toolbar skip form hidden".split()
 )
 _HEADERS = frozenset(("header", "topbar"))
-_TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<({_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?:/>|>.*?(?:</\1\s*>|$))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[/!?][^>]*>?|<[a-zA-Z][^>]*(?:>|$)", re.S | re.I)
+_TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<({_RAW})(?![\w:-])(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?:/>|>.*?(?:</\1\s*>|$))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[/!?][^>]*>?|<[a-zA-Z][^>]*(?:>|$)", re.S | re.I)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 OPEN, ARTICLE, UNWANTED = 0, 1, 2  # where a line stands
@@ -64,14 +66,14 @@ OPEN, ARTICLE, UNWANTED = 0, 1, 2  # where a line stands
 
 def _unwanted(name: str, attributes: str, in_article: bool) -> bool:
     """Is the element one that holds no main text?"""
-    if name in _DROPPED or (name == "header" and not in_article):
+    if name in _DROPPED or (name in ("header", "math", "noscript") and not in_article):
         return True
     if not attributes:
         return False
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values).lower()
         if key in ("class", "id"):
-            words = set(re.split(r"[^a-z]+", value))
+            words = set() if name in _FRAMES else set(value.split())
             if words & _NAMES or (not in_article and words & _HEADERS):
                 return True
         elif key == "role" and value in _ROLES:

@@ -66,3 +66,16 @@ def test_differencing_and_odd_pages(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
         assert [got[i] for i in range(len(WANT))] == WANT
     assert htmldiff.main_text(df.limit(0)).collect() == []
+
+
+def test_whole_texts_stay():
+    def text(html):
+        lines = htmldiff.page_lines(html)
+        return htmldiff.kept_text([x for x, _ in lines], [k for _, k in lines], [])
+
+    assert text("<p>one</p><svg-icon></svg-icon><p>two</p><video-js><p>three</p></video-js><p>four</p>") == "one\ntwo\nthree\nfour"
+    assert text("<p>one</p><svg><text>x</text></svg><video src=a>no</video><p>two</p>") == "one\ntwo"
+    for frame in ("<body class='right-sidebar'>", "<body class='menu-open'>", "<body class='sidebar'>", "<html class=nav><body id=form>", "<article class='post has-comments'>", "<main class='widget'>", "<div class='has-comments'>"):
+        assert text(frame + "<p>one</p><div class='box ad'>no</div><p>two</p>") == "one\ntwo", frame
+    assert text("<article><p>where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><noscript><p>a picture</p></noscript><p>end</p></article>") == "where x=2 holds\na picture\nend"
+    assert text("<p>one</p><noscript>no</noscript><p>two</p>") == "one\ntwo"
