@@ -203,8 +203,16 @@ def predict(text: Column, model: Model, spark) -> Column:
 
 def keep_known(docs: DataFrame, labelled: DataFrame, text_col: str = "text", wanted: list[str] | None = None) -> DataFrame:
     """The rows of ``docs`` whose text has a language (one of ``wanted``, if
-    given); rows without any letter go."""
+    given); rows without any letter go.  Where there is nothing to learn from and no
+    language is wanted, all rows with a letter stay."""
     model = fit(labelled)
+    if not model.families and wanted is None:
+
+        @F.arrow_udf("boolean")
+        def lettered(texts: pa.Array) -> pa.Array:
+            return pa.array([has_letter(t) for t in texts.to_pylist()], pa.bool_())
+
+        return docs.where(lettered(col(text_col)))
     rows = docs.select(packed(docs), predict(col(text_col), model, docs.sparkSession).alias("found"))
     good = F.col("found.lang_pred") != UNKNOWN
     if wanted is not None:

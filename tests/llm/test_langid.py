@@ -51,3 +51,9 @@ def test_odd_texts(spark, docs, odd_docs, no_docs):
     assert {(r.p.lang_pred, r.p.score) for r in out} == {("und", 0.0)}
     one = langid.fit(labelled.where("lang = 'de'"))
     assert one.predict(["hello", None])[0][0] == "de"
+
+
+def test_nothing_to_learn_from_keeps_letters(spark):
+    df = spark.createDataFrame([(1, "hello"), (2, "123 !"), (3, None), (4, "日本")], "doc_id long, text string")
+    none = df.selectExpr("doc_id AS id", "text", "CAST(NULL AS string) AS lang")
+    assert [r.doc_id for r in langid.keep_known(df, none).orderBy("doc_id").collect()] == [1, 4]
