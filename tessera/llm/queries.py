@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, htmldiff, langid, licenses, simhash, tokenscan, topk, toxicity, urlfilter
+from tessera.llm import align, bpe, decontam, htmldiff, langid, licenses, quality, simhash, tokenscan, topk, toxicity, urlfilter, whitening
 from tessera.llm.common import remainder, table
 from tessera.session import scratch_path
 
@@ -134,6 +134,26 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", held_out.alias("held_out"), found.alias("found")).select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and link statistics of every document under two tokenizers."""
+    docs = table(spark, sf_dir, "documents")
+    pair = align.Aligner(spark, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    runs = pair.link_runs(docs, "doc_id", "text", {"groups_sha256": ("string", align.group_digests(pair.span))})
+    return pair.link_scores(runs).withColumnRenamed("id", "doc_id")
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and quality verdict of every document."""
+    judged = quality.judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return judged.select("row.doc_id", "counts.n_words", "counts.word_chars", "counts.n_symbols", "counts.n_dup_lines", "counts.n_repeat_words", "base_failed", "kept", "failed")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the four components of most variance, whitened."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors, n_components=4, scale=256))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_decontamination": op2_decontamination,
@@ -145,5 +165,8 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_licenses": op9_licenses,
     "op10_language_id": op10_language_id,
+    "op11_alignment": op11_alignment,
+    "op12_quality": op12_quality,
+    "op13_whitening": op13_whitening,
 }
 ORACLE_SQL: dict[str, str] = {"op5_token_counts": OP5_SQL, "op6_topk": OP6_SQL}
