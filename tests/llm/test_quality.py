@@ -102,8 +102,8 @@ def test_fences_of_groups_and_fallbacks(spark, no_docs):
     """Own fences of a large group, its language's of a small one, those of all
     texts elsewhere; one source holds most rows."""
     rng = np.random.default_rng(0)
-    texts = [(" ".join("w" * int(rng.integers(3, 8)) + "#" * int(k < 0.02) for k in rng.random(40)), "en", "big") for _ in range(900)]
-    texts += [(" ".join("#" * 3 + "w" * int(n) for n in rng.integers(3, 8, 40)), "en", "marked") for _ in range(250)]
+    texts = [(" ".join("w" * int(rng.integers(1, 6)) + str(rng.integers(10, 99)) + "#" * int(k < 0.02) for k in rng.random(40)), "en", "big") for _ in range(900)]
+    texts += [(" ".join("#" * 3 + "w" * int(n) + str(rng.integers(10, 99)) for n in rng.integers(1, 6, 40)), "en", "marked") for _ in range(250)]
     texts += [("#### " * 20 + "abcd " * 10, lang, source) for lang in ("en", "xx", None) for source in ("big", "marked", "small", None)]
     rows = [(i, *t) for i, t in enumerate(texts)]
     df = spark.createDataFrame([(i, t, lang, source, 1) for i, t, lang, source in rows], no_docs.schema)
