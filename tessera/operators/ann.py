@@ -1,75 +1,153 @@
-"""Approximate nearest neighbours (inverted lists), with recall against R1.
-
-``n_lists`` rows of the collection, chosen by the md5 of their key, are the list
-centres; every row belongs to its nearest centre.  The index is written once to
-shared storage, partitioned by list.  A question probes its ``n_probe`` nearest
-centres, and a search reads only the lists that its question block probes; rows
-are scored only against the questions that probe their list.  No question x
-candidate pairs are materialised and nothing is grouped by list, so a list that
-holds a third of the collection is still spread over many tasks.
-
-Both numbers are the caller's choice, since recall depends on them; with
-``n_probe == n_lists`` the search is exact (tests use this).  Centres and probes
-are exact distances with ties to the smaller list, so the result is the same on
-every run and engine.
+"""Approximate nearest neighbours by a trained index, with recall against R1.
+
+The index is trained on a bounded sample: the ``sample_rows`` rows whose keys have
+the smallest md5 (``SAMPLE_ROWS`` unless given).  A few Lloyd steps from its first
+rows give the ``n_lists`` list centres.  What is left of a vector after its centre
+is cut into pieces, and a few Lloyd steps per piece give codebooks (a residual
+product quantiser), so a row's code is one small number a piece.
+
+Every row of the collection is indexed: its list, its code and its vector are
+written once to shared storage, partitioned by list.  A question probes its
+``n_probe`` nearest lists and reads only the codes there.  Distances to codes are
+sums of looked-up numbers; each task keeps a question's ``shortlist`` best.  Only
+the vectors of the merged short list are fetched and scored exactly.  No
+question x candidate pairs are materialised, and nothing is grouped by list, so a
+list that holds a third of the collection is still spread over many tasks.
+
+Training, lists and codes are exact integer arithmetic on ``floor(scale * x)``,
+with ties to the smaller number, so the result is the same on every run and
+engine.  With every list probed and a short list as long as the collection, the
+search is exact (tested).
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.operators.knn import (DEFAULT_BLOCK_ROWS, MERGE_WAYS, _exact_l2, _matrix, best_rows, exact_l2_pairs,
-                                   l2_candidates, merged, question_blocks, usable)
+from tessera.operators.knn import DEFAULT_BLOCK_ROWS, MERGE_WAYS, best_rows, merged, question_blocks, usable
 from tessera.session import scratch_path
 
-
-def nearest_lists(V: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
-    """The n nearest centres of every row, nearest first, ties to smaller lists."""
-    d = np.stack([_exact_l2(V, np.broadcast_to(c, V.shape)) for c in centres], axis=1)
-    return np.argsort(d, axis=1, kind="stable")[:, :n].astype(np.int32)
-
-
-def ivf_index(collection: DataFrame, ckey: str, vector: str, n_lists: int) -> tuple[DataFrame, np.ndarray]:
-    """Choose the centres (``n_lists`` rows: a bound the caller sets), write
-    (ckey, _v, _list) partitioned by list, and return it with the centres."""
+SAMPLE_ROWS = 20_000  # rows on the driver for training
+SCALE = 1024
+LIST_STEPS, CODE_STEPS = 3, 2  # Lloyd steps
+N_CODES = 16
+_TILE = 256  # questions scored together
+_PAIRS = 1 << 21  # distances computed together
+
+
+def integers(vectors) -> np.ndarray:
+    rows = [np.asarray(v, dtype=np.float64) for v in vectors]
+    return np.floor(SCALE * np.stack(rows)).astype(np.int64) if rows else np.zeros((0, 0), np.int64)
+
+
+def squares(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Exact squared distances of integer points to each of a few centres."""
+    return np.stack([((points - c) ** 2).sum(axis=1) for c in centres], axis=1)
+
+
+def lloyd(points: np.ndarray, centres: np.ndarray, steps: int) -> np.ndarray:
+    """Integer means, rounded down; a centre without points stays."""
+    for _ in range(steps):
+        own = squares(points, centres).argmin(axis=1)
+        n = np.bincount(own, minlength=len(centres))
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, points)
+        centres = np.where(n[:, None] > 0, sums // np.maximum(n, 1)[:, None], centres)
+    return centres
+
+
+@dataclass
+class Index:
+    """List centres, and for each piece of ``width`` components its codebook.
+    Its size is (n_lists + N_CODES) vectors, whatever the collection's."""
+
+    centres: np.ndarray
+    books: list
+    width: int
+
+    @classmethod
+    def train(cls, sample: np.ndarray, n_lists: int, width: int) -> Index:
+        centres = lloyd(sample, sample[:n_lists], LIST_STEPS)
+        rest = sample - centres[squares(sample, centres).argmin(axis=1)]
+        pieces = [rest[:, at:at + width] for at in range(0, sample.shape[1], width)]
+        return cls(centres, [lloyd(p, p[:N_CODES], CODE_STEPS) for p in pieces], width)
+
+    def encode(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The list and the code of every point."""
+        lists = squares(points, self.centres).argmin(axis=1)
+        rest = points - self.centres[lists]
+        codes = [squares(rest[:, i * self.width:(i + 1) * self.width], book).argmin(axis=1) for i, book in enumerate(self.books)]
+        return lists, np.stack(codes, axis=1).astype(np.uint8)
+
+    def probes(self, points: np.ndarray, n: int) -> np.ndarray:
+        """The n nearest lists of every point, nearest first."""
+        return np.argsort(squares(points, self.centres), axis=1, kind="stable")[:, :n].astype(np.int32)
+
+    def estimates(self, points: np.ndarray, lst: int, codes: np.ndarray) -> np.ndarray:
+        """Squared distances of the points (rows) to the coded vectors of a list."""
+        rest = points - self.centres[lst]
+        out = np.zeros((len(points), len(codes)), np.int64)
+        for i, book in enumerate(self.books):
+            out += squares(rest[:, i * self.width:(i + 1) * self.width], book)[:, codes[:, i]]
+        return out
+
+
+def build_index(collection: DataFrame, ckey: str, vector: str, n_lists: int, width: int = 2,
+                sample_rows: int = SAMPLE_ROWS) -> tuple[DataFrame, Index | None]:
+    """Train, write (ckey, _v, _code, _list) partitioned by list, and return it
+    with the trained part (None for a collection without usable vectors)."""
     spark = collection.sparkSession
     rows = collection.select(ckey, F.col(vector).cast("array<double>").alias("_v")).filter(usable("_v"))
-    first = rows.orderBy(F.md5(F.col(ckey).cast("string")), ckey).limit(n_lists).collect()
-    centres = np.stack([np.asarray(r["_v"], dtype=np.float64) for r in first]) if first else np.zeros((0, 1))
-    shared = spark.sparkContext.broadcast(centres)
-
-    @F.pandas_udf("int")
-    def assign(vectors: pd.Series) -> pd.Series:
-        return pd.Series(nearest_lists(_matrix(vectors.to_numpy()), shared.value, 1)[:, 0] if len(vectors) else [])
+    sample = rows.orderBy(F.md5(F.col(ckey).cast("string")), ckey).limit(sample_rows).collect()
+    index = Index.train(integers(r["_v"] for r in sample), n_lists, width) if sample else None
+    shared = spark.sparkContext.broadcast(index)
+
+    @F.arrow_udf("struct<_code:binary,_list:int>")
+    def assign(vectors: pa.Array) -> pa.Array:
+        if not len(vectors):
+            return pa.array([], pa.struct([("_code", pa.binary()), ("_list", pa.int32())]))
+        flat = vectors.flatten().to_numpy(zero_copy_only=False)
+        lists, codes = shared.value.encode(np.floor(SCALE * flat.reshape(len(vectors), -1)).astype(np.int64))
+        return pa.StructArray.from_arrays([pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(lists, pa.int32())], ["_code", "_list"])
 
     path = scratch_path(spark, "ivf-index")
-    assigned = rows.withColumn("_list", assign("_v"))
+    assigned = rows.withColumn("_a", assign("_v")).select(ckey, "_v", "_a._code", "_a._list")
     assigned.write.partitionBy("_list").parquet(path)
-    return spark.read.schema(assigned.schema).parquet(path), centres
+    return spark.read.schema(assigned.schema).parquet(path), index
 
 
-def _make_scan(bq, k: int, ckey: str, exclude_self: bool):
+def _make_scan(shared, index, shortlist: int, ckey: str, exclude_self: bool):
     def scan(batches):
-        qkeys, Q, probes = bq.value  # probes: questions x n_probe list ids
+        qkeys, Q, probes = shared.value  # probes: questions x n_probe list ids
+        trained = index.value
         best = None
         for pdf in batches:
-            found = []
-            pdf = pdf.sort_values(ckey, kind="stable")
             for lst, part in pdf.groupby("_list", sort=True):
                 qi = np.flatnonzero((probes == lst).any(axis=1))
-                if not len(qi):
-                    continue
-                keys, C = part[ckey].to_numpy(), _matrix(part["_v"].to_numpy())
-                own = qkeys[qi, None] == keys[None, :] if exclude_self else None
-                r, c = np.nonzero(l2_candidates(Q[qi], C, k, own))
-                found.append(pd.DataFrame({"_qi": qi[r], "_d": exact_l2_pairs(Q[qi], C, r, c), "_k0": keys[c]}))
-            if found:
-                best = best_rows(([best] if best is not None else []) + found, k, ["_k0"])
+                all_codes = np.frombuffer(b"".join(part["_code"]), np.uint8).reshape(len(part), -1)
+                all_keys = part[ckey].to_numpy()
+                rows = max(1, _PAIRS // _TILE)
+                for q0 in range(0, len(qi), _TILE):
+                    some = qi[q0:q0 + _TILE]
+                    for r0 in range(0, len(part), rows):
+                        keys = all_keys[r0:r0 + rows]
+                        found = trained.estimates(Q[some], lst, all_codes[r0:r0 + rows])
+                        if exclude_self:
+                            found = np.where(qkeys[some, None] == keys[None, :], np.iinfo(np.int64).max, found)
+                        # all that are no further than the last of the short list; ties are cut by key
+                        at = min(shortlist, found.shape[1]) - 1
+                        edge = np.partition(found, at, axis=1)[:, at][:, None]
+                        r, c = np.nonzero((found <= edge) & (found < np.iinfo(np.int64).max))
+                        new = pd.DataFrame({"_qi": some[r], "_d": found[r, c], "_k0": keys[c]})
+                        best = best_rows(([best] if best is not None else []) + [new], shortlist, ["_k0"])
         if best is not None and len(best):
             yield pd.DataFrame({"qkey": qkeys[best["_qi"].to_numpy()], "_k0": best["_k0"].to_numpy(),
                                 "score": best["_d"].to_numpy(), "_way": TaskContext.get().partitionId() % MERGE_WAYS})
@@ -77,25 +155,35 @@ def _make_scan(bq, k: int, ckey: str, exclude_self: bool):
     return scan
 
 
-def ivf_nearest(collection: DataFrame, questions: DataFrame, k: int, *, ckey: str, qkey: str, vector: str,
-                n_lists: int, n_probe: int, qvector: str | None = None, exclude_self: bool = False,
-                block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """Approximate top-``k`` by squared L2: (qkey, ckey, score, rank)."""
+def ann_nearest(collection: DataFrame, questions: DataFrame, k: int, *, ckey: str, qkey: str, vector: str,
+                n_lists: int, n_probe: int, shortlist: int, width: int = 2, qvector: str | None = None,
+                exclude_self: bool = False, block_rows: int = DEFAULT_BLOCK_ROWS,
+                sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """Approximate top-``k`` by squared L2: (qkey, ckey, score, rank); ``score`` is
+    exact, as R1's, and ``shortlist`` rows a question are scored exactly.  Keys of
+    the collection identify its rows."""
     qvector = qvector or vector
     spark = collection.sparkSession
-    index, centres = ivf_index(collection, ckey, vector, n_lists)
+    rows, index = build_index(collection, ckey, vector, n_lists, width, sample_rows)
     out_schema = T.StructType([
         T.StructField("qkey", questions.schema[qkey].dataType), T.StructField("_k0", collection.schema[ckey].dataType),
-        T.StructField("score", T.DoubleType()), T.StructField("_way", T.IntegerType()),
+        T.StructField("score", T.LongType()), T.StructField("_way", T.IntegerType()),
     ])
     cand = spark.createDataFrame([], out_schema)
-    for pdf in question_blocks(questions.filter(usable(qvector)), qkey, qvector, block_rows) if len(centres) else ():
-        Q = _matrix(pdf["_v"].to_numpy())
-        probes = nearest_lists(Q, centres, n_probe)
-        bq = spark.sparkContext.broadcast((pdf["_q"].to_numpy(), Q, probes))
-        read = index.filter(F.col("_list").isin(np.unique(probes).tolist()))
-        cand = cand.unionByName(read.mapInPandas(_make_scan(bq, k, ckey, exclude_self), out_schema))
-    return merged(cand, k, ["_k0"], False).select(F.col("qkey").alias(qkey), F.col("_k0").alias(ckey), "score", "rank")
+    asked = questions.select(qkey, F.col(qvector).cast("array<double>").alias("_q")).filter(usable("_q")).distinct()
+    trained = spark.sparkContext.broadcast(index)
+    for pdf in question_blocks(asked, qkey, "_q", block_rows) if index else ():
+        Q = integers(pdf["_v"])
+        probes = index.probes(Q, n_probe)
+        shared = spark.sparkContext.broadcast((pdf["_q"].to_numpy(), Q, probes))
+        read = rows.filter(F.col("_list").isin(np.unique(probes).tolist())).select(ckey, "_code", "_list")
+        cand = cand.unionByName(read.mapInPandas(_make_scan(shared, trained, shortlist, ckey, exclude_self), out_schema))
+    short = merged(cand, shortlist, ["_k0"], False).select("qkey", F.col("_k0").alias(ckey))
+    met = rows.select(ckey, "_v").join(short, ckey).join(asked.withColumnRenamed(qkey, "qkey"), "qkey")
+    apart = F.zip_with("_q", "_v", lambda a, b: (a - b) * (a - b))
+    scored = met.select("qkey", ckey, F.aggregate(apart, F.lit(0.0), lambda s, x: s + x).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("qkey").orderBy("score", ckey))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).withColumnRenamed("qkey", qkey)
 
 
 def recall(approx: DataFrame, exact: DataFrame, qkey: str, ckey: str, k: int) -> DataFrame:
