@@ -19,17 +19,18 @@ CHUNK_OVERLAP = 50
 
 
 def chunk_documents(docs: DataFrame, key="doc_id", text="text", source="source",
-                    size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """D1 + D2 + D4: one row per chunk with id 'key-i', source and 0-based index."""
+                    size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, keep: tuple = ()) -> DataFrame:
+    """D1 + D2 + D4: one row per chunk with id 'key-i', source and 0-based index;
+    ``keep`` names further columns that the chunks carry."""
     # words are materialised in their own projection: referenced inside the
     # window lambda they would otherwise be re-split for every chunk.
     return docs.select(
-        F.col(key).alias("_key"), F.col(source).alias("source"), T.words(text).alias("_words"),
+        F.col(key).alias("_key"), F.col(source).alias("source"), T.words(text).alias("_words"), *keep,
     ).select(
-        "_key", "source", F.posexplode(T.word_windows("_words", size, overlap)).alias("chunk", "text"),
+        "_key", "source", *keep, F.posexplode(T.word_windows("_words", size, overlap)).alias("chunk", "text"),
     ).select(
         F.concat_ws("-", F.col("_key").cast("string"), F.col("chunk").cast("string")).alias("chunk_id"),
-        F.col("_key").alias(key), "source", F.col("chunk").cast("int").alias("chunk"), "text",
+        F.col("_key").alias(key), "source", F.col("chunk").cast("int").alias("chunk"), "text", *keep,
     )
 
 

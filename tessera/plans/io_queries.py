@@ -93,17 +93,35 @@ def _midpoint(df: DataFrame, c: str):
 
 def stream_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Documents land in two arrivals; an availableNow file stream chunks
-    each arrival incrementally.  The first arrival also delivers every tenth
-    later document in a stale version: its second delivery replaces the chunks."""
+    each arrival incrementally.
+
+    Every tenth later document comes in the first arrival already, in a stale
+    version, and every seventh in two versions within the second arrival.  Of the
+    earlier ones, the second arrival delivers every eleventh again without text,
+    every thirteenth as deleted, and of every seventeenth a version older than the
+    one that is there."""
     docs = Tables(spark, sf).documents
     lo, hi = _midpoint(docs, "doc_id")
     mid = (lo + hi) // 2 if lo is not None else 0
     landing, sink, ckpt = (scratch_path(spark, n) for n in ("doc-landing", "chunk-sink", "chunk-ckpt"))
     early = F.coalesce(F.col("doc_id") <= mid, F.lit(False))
-    stale = docs.filter(~early & (F.col("doc_id") % 10 == 0)).withColumn("text", F.concat(F.lit("stale "), "text"))
-    for part in (docs.filter(early).unionByName(stale), docs.filter(~early)):
+
+    def delivery(rows: DataFrame, number: int, text=None, deleted: bool = False) -> DataFrame:
+        rows = rows.withColumn("text", text) if text is not None else rows
+        return rows.withColumns({"delivery": F.lit(number).cast("long"), "deleted": F.lit(deleted)})
+
+    def some(rows, modulus: int, rest: int):
+        return docs.filter(rows & (F.pmod("doc_id", F.lit(modulus)) == rest))
+
+    stale = F.concat(F.lit("stale "), "text")
+    first = delivery(docs.filter(early), 1).unionByName(delivery(some(~early, 10, 0), 1, stale))
+    second = delivery(docs.filter(~early), 3)
+    for rows in (delivery(some(~early, 7, 3), 2, stale), delivery(some(early, 11, 5), 2, F.lit("")),
+                 delivery(some(early, 13, 6), 2, deleted=True), delivery(some(early, 17, 4), 0, stale)):
+        second = second.unionByName(rows)
+    for part in (first, second):
         part.write.mode("append").parquet(landing)
-        X.incremental_chunks(spark, landing, docs.schema, sink, ckpt)
+        X.incremental_chunks(spark, landing, first.schema, sink, ckpt)
     return X.latest_documents(spark, sink).select("chunk_id", "doc_id", "source", "chunk", "text")
 
 
@@ -162,7 +180,9 @@ SELECT *, string_agg(event_type, ',') OVER (PARTITION BY user_id, run_no ORDER B
     "call_log_roundtrip": f"""WITH {CALLS_SQL}
 SELECT {CALL_TIME_SQL} AS timestamp, query::VARCHAR AS query, agent, input_tokens, output_tokens,
   {_price('input_tokens', 'output_tokens')} FROM calls""",
-    "stream_chunks": f"WITH {SQL_CHUNKS} SELECT * FROM chunks",
+    "stream_chunks": f"""WITH {SQL_CHUNKS}, m AS (SELECT (MIN(doc_id) + MAX(doc_id)) // 2 AS mid FROM documents)
+SELECT chunks.* FROM chunks CROSS JOIN m
+WHERE NOT (doc_id <= mid AND (doc_id % 11 = 5 OR doc_id % 13 = 6))""",
     "stream_cost": f"""WITH {CALLS_SQL},
 d AS (SELECT substr({CALL_TIME_SQL}, 1, 10) AS day, agent, COUNT(*) AS n_calls,
   CAST(SUM(input_tokens) AS BIGINT) AS input_tokens, CAST(SUM(output_tokens) AS BIGINT) AS output_tokens

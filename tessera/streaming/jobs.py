@@ -36,21 +36,64 @@ def run_available(stream: DataFrame, sink: str, checkpoint: str, transform=None,
     q.awaitTermination()
 
 
+def latest_versions(batch: DataFrame, key: str, sequence: str) -> DataFrame:
+    """One row a key: the one delivered last, and among equal numbers the one
+    whose columns hash highest, so that every run keeps the same.  Rows without a
+    key cannot replace each other and all stay."""
+    columns = [F.col(c) for c in batch.columns]
+    last = F.max_by(F.struct(*columns), F.struct(F.col(sequence), F.xxhash64(*columns)))
+    keyed = batch.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(last.alias("_row")).select("_row.*")
+    return keyed.unionByName(batch.filter(F.col(key).isNull()))
+
+
 def incremental_chunks(spark: SparkSession, landing: str, schema: T.StructType, sink: str, checkpoint: str,
+                       key: str = "doc_id", sequence: str = "delivery", deleted: str = "deleted",
                        max_files: int = 64) -> None:
-    """Chunk newly arrived documents (in place of the full refresh).  A
-    document that is delivered again replaces its chunks (``latest_documents``).
+    """Chunk newly arrived documents (in place of the full refresh).
+
+    A document may be delivered again, with other text, empty, or with ``deleted``
+    set; of several deliveries the one with the largest ``sequence`` holds, also
+    when an older one arrives later.  Without that column a delivery's number is
+    the modification time of its file, without ``deleted`` nothing is deleted.
+
+    Every micro-batch first writes its chunks, then a manifest of (key, sequence,
+    deleted).  ``latest_documents`` reads chunks by way of the manifest only, so a
+    batch that died between the two is not seen, and a document without chunks is
+    still known to be delivered.  Both are overwritten when a batch is replayed.
     ``max_files`` only throttles a micro-batch."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(landing)
-    run_available(stream, sink, checkpoint, transform=chunk_documents)
-
+    if sequence not in schema.names:
+        stream = stream.withColumn(sequence, F.unix_micros(F.col("_metadata.file_modification_time")))
+    gone = F.coalesce(F.col(deleted), F.lit(False)) if deleted in schema.names else F.lit(False)
 
-def latest_documents(spark: SparkSession, sink: str, key="doc_id") -> DataFrame:
-    """The chunks of every document's latest delivery; a null key is a key."""
-    rows = spark.read.parquet(sink)
-    latest = rows.groupBy(F.col(key).alias("_k")).agg(F.max("batch_id").alias("_last"))
-    return rows.join(latest, F.col(key).eqNullSafe(F.col("_k")) & (F.col("batch_id") == F.col("_last"))).drop(
-        "_k", "_last", "batch_id")
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = latest_versions(batch, key, sequence).withColumn("_gone", gone)
+        chunks = chunk_documents(rows.filter(~F.col("_gone")), key=key, keep=(sequence,))
+        chunks.write.mode("overwrite").parquet(f"{sink}/chunks/batch_id={batch_id}")
+        manifest = rows.select(key, F.col(sequence).alias("sequence"), F.col("_gone").alias("deleted"))
+        manifest.write.mode("overwrite").parquet(f"{sink}/manifest/batch_id={batch_id}")
+
+    (stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+     .trigger(availableNow=True).start().awaitTermination())
+
+
+def deliveries(spark: SparkSession, sink: str, key="doc_id") -> DataFrame:
+    """The manifest's last entry of every key: (key, sequence, batch_id, deleted)."""
+    last = F.max(F.struct("sequence", "batch_id", "deleted")).alias("_last")
+    manifest = spark.read.parquet(f"{sink}/manifest")
+    return manifest.filter(F.col(key).isNotNull()).groupBy(key).agg(last).select(key, "_last.*")
+
+
+def latest_documents(spark: SparkSession, sink: str, key="doc_id", sequence="delivery") -> DataFrame:
+    """The chunks of every document's latest delivery, and those of all rows
+    delivered without a key."""
+    chunks = spark.read.parquet(f"{sink}/chunks")
+    last = deliveries(spark, sink, key).select(F.col(key).alias("_k"), F.col("sequence").alias("_s"), F.col("batch_id").alias("_b"))
+    same = (F.col(key) == F.col("_k")) & F.col(sequence).eqNullSafe(F.col("_s")) & (F.col("batch_id") == F.col("_b"))
+    manifest = spark.read.parquet(f"{sink}/manifest")
+    without = manifest.filter(F.col(key).isNull()).select("batch_id").distinct()
+    unkeyed = chunks.filter(F.col(key).isNull()).join(without, "batch_id", "left_semi")
+    return chunks.join(last, same, "left_semi").unionByName(unkeyed).drop(sequence, "batch_id")
 
 
 def event_instant(ts: str) -> F.Column:

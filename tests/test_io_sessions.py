@@ -64,11 +64,40 @@ def test_redelivered_document_replaces_its_chunks(spark, tmp_path):
 
     schema = "doc_id long, source string, text string"
     landing, sink, ckpt = (str(tmp_path / n) for n in ("l", "s", "c"))
-    for rows in ([(1, "a", "old " * 600), (2, "a", "kept"), (None, "a", "no key")], [(1, "a", "new")]):
+    for rows in ([(1, "a", "old " * 600), (2, "a", "kept"), (3, "a", "emptied"), (None, "a", "no key"), (None, "a", "nor here")],
+                 [(1, "a", "new"), (3, "a", "")]):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(landing)
         X.incremental_chunks(spark, landing, spark.createDataFrame([], schema).schema, sink, ckpt)
     got = sorted((str(r["doc_id"]), r["text"]) for r in X.latest_documents(spark, sink).collect())
-    assert got == [("1", "new"), ("2", "kept"), ("None", "no key")]
+    assert got == [("1", "new"), ("2", "kept"), ("None", "no key"), ("None", "nor here")]
+    assert {r["doc_id"] for r in X.deliveries(spark, sink).collect()} == {1, 2, 3}
+
+
+def test_delivery_manifest(spark, tmp_path):
+    """Versions within a micro-batch, deletions, versions that arrive too late,
+    rows that are delivered twice, and a batch that died before its manifest."""
+    import shutil
+
+    from tessera.streaming import jobs as X
+
+    schema = "doc_id long, source string, text string, delivery long, deleted boolean"
+    landing, sink, ckpt = (str(tmp_path / n) for n in ("l", "s", "c"))
+    arrivals = [
+        [(1, "a", "one", 5, False), (2, "a", "two", 5, None), (3, "a", "three", 5, False), (4, "a", "same", 5, False), (4, "a", "same", 5, False)],
+        [(1, "a", "one b", 7, False), (1, "a", "one a", 6, False), (2, "a", None, 6, True), (3, "a", "too late", 4, False), (5, "a", "tie x", 1, False), (5, "a", "tie y", 1, False)],
+        [(2, "a", "back", 9, False), (4, "a", "same", 5, False)],
+    ]
+    seen = []
+    for rows in arrivals:
+        spark.createDataFrame(rows, schema).repartition(3).write.mode("append").parquet(landing)
+        X.incremental_chunks(spark, landing, spark.createDataFrame([], schema).schema, sink, ckpt)
+        seen.append(sorted((r["doc_id"], r["text"]) for r in X.latest_documents(spark, sink).collect()))
+    assert seen[0] == [(1, "one"), (2, "two"), (3, "three"), (4, "same")]
+    tie = [x for x in seen[1] if x[0] == 5]
+    assert len(tie) == 1 and seen[1] == [(1, "one b"), (3, "three"), (4, "same"), *tie]
+    assert seen[2] == [(1, "one b"), (2, "back"), (3, "three"), (4, "same"), *tie]
+    shutil.copytree(tmp_path / "s", tmp_path / "died", ignore=lambda d, names: ["batch_id=2"] if d.endswith("manifest") else [])
+    assert sorted((r["doc_id"], r["text"]) for r in X.latest_documents(spark, str(tmp_path / "died")).collect()) == seen[1]
 
 
 @pytest.mark.slow
