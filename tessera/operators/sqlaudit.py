@@ -8,7 +8,8 @@ G5 profiles tables in one aggregate pass per table.
 
 from __future__ import annotations
 
-import re
+import threading
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,7 @@ REASON_BLOCKED = "Blocked keyword: "
 REASON_SCRIPT = "Blocked script call"
 REASON_OK = "OK"
 MAX_ROWS = 100
+MAX_SECONDS = 300.0
 PREVIEW_ROWS = 20
 FENCE = r"(?is)```(?:sql)?\s*(.*?)```"
 LEAD = r"(?is)^(.*?)\b(?:SELECT|WITH)\b"
@@ -89,45 +91,128 @@ def _judge_text(spark: SparkSession, text: str | None) -> tuple[str, bool, str]:
     return r["cleaned_sql"], r["valid"], r["reason"]
 
 
-# Nodes of a parsed statement that do more than read tables, and relations that
-# name a file format instead of a table.
-_REFUSED_NODES = re.compile(r"ScriptTransformation|\w+Command\b|InsertInto|CreateTable|CreateView|DropTable|SetCatalog")
-_FILE_RELATION = re.compile(
-    r"UnresolvedRelation \[(?:parquet|orc|csv|json|text|avro|xml|binaryFile|jdbc|delta|iceberg)\b", re.I)
-
-
-def refused_plan(spark: SparkSession, sql: str) -> str | None:
-    """Why the parsed statement may not run, or None.  Parsing runs nothing."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).toString()
-    if m := _REFUSED_NODES.search(plan):
-        return f"{REASON_SCRIPT}: {m[0]}"
-    return "Only tables can be read" if _FILE_RELATION.search(plan) else None
-
-
-def run_guarded(spark: SparkSession, text: str | None, max_rows: int = MAX_ROWS) -> GuardedResult:
+# What a statement may consist of.  Parsed: these plan nodes, any expression but
+# those refused, relations by one name, and these table functions.
+PARSED_NODES = frozenset(
+    "UnresolvedWith GlobalLimit LocalLimit Offset Sort Project Filter Aggregate Join LateralJoin SubqueryAlias "
+    "UnresolvedSubqueryColumnAliases UnresolvedRelation Distinct Union Except Intersect OneRowRelation LocalRelation "
+    "UnresolvedInlineTable UnresolvedTableValuedFunction UnresolvedTVFAliases UnresolvedHaving WithWindowDefinition "
+    "Window Generate Pivot Unpivot Sample UnresolvedHint".split())
+TABLE_FUNCTIONS = frozenset("range explode explode_outer posexplode posexplode_outer inline inline_outer stack".split())
+REFUSED_EXPRESSIONS = frozenset("ExpressionWithUnresolvedIdentifier CallMethodViaReflection NamedParameter PosParameter".split())
+REFUSED_FUNCTIONS = frozenset(w.lower() for w in SPARK_BLOCKED_WORDS)
+SUBQUERIES = frozenset("ScalarSubquery Exists ListQuery LateralSubquery FunctionTableSubqueryArgumentExpression".split())
+# Analysed: a tree whose leaves are views (their inside is their owner's
+# business), references to the statement's own WITH tables, or rows given as text.
+ANALYSED_LEAVES = frozenset("View CTERelationRef OneRowRelation LocalRelation Range".split())
+REASON_RELATION = "Only known tables can be read"
+REASON_NODE = "Not a plain query: "
+
+
+def _each(seq):
+    it = seq.iterator()
+    while it.hasNext():
+        yield it.next()
+
+
+def _name(node) -> str:
+    return node.getClass().getSimpleName().rstrip("$")
+
+
+def _tree(plan, enter=lambda node: True):
+    """(node, is it a plan) of a plan, its expressions and the plans within them."""
+    stack = [(plan, True)]
+    while stack:
+        node, is_plan = stack.pop()
+        yield node, is_plan
+        if is_plan and not enter(node):
+            continue
+        stack += [(x, is_plan) for x in _each(node.children())]
+        if is_plan:
+            stack += [(x, False) for x in _each(node.expressions())]
+            # WITH tables; the plans of subqueries are reached by their expressions
+            stack += [(x, True) for x in _each(node.innerChildren()) if _name(node) == "UnresolvedWith"]
+        elif _name(node) in SUBQUERIES:
+            stack.append((node.plan(), True))
+
+
+def refused_statement(spark: SparkSession, sql: str, tables: set) -> str | None:
+    """Why the parsed statement may not run, or None.  Parsing runs nothing.
+
+    Relations must be a WITH table of the statement or one of ``tables``, by a
+    single name: a path or a format in front of one is never a known table."""
+    nodes = list(_tree(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)))
+    own = {x.alias().lower() for node, is_plan in nodes if is_plan and _name(node) == "UnresolvedWith" for x in _each(node.innerChildren())}
+    for node, is_plan in nodes:
+        name = _name(node)
+        if is_plan and name not in PARSED_NODES:
+            return REASON_NODE + name
+        if name == "UnresolvedRelation":
+            parts = [str(x) for x in _each(node.multipartIdentifier())]
+            if len(parts) != 1 or parts[0].lower() not in own | tables:
+                return f"{REASON_RELATION}: {'.'.join(parts)}"
+        if name == "UnresolvedTableValuedFunction" and ".".join(str(x) for x in _each(node.name())).lower() not in TABLE_FUNCTIONS:
+            return REASON_NODE + name
+        if not is_plan and (name in REFUSED_EXPRESSIONS or (name == "UnresolvedFunction" and str(list(_each(node.nameParts()))[-1]).lower() in REFUSED_FUNCTIONS)):
+            return REASON_NODE + name
+    return None
+
+
+def refused_analysis(df: DataFrame) -> str | None:
+    """The same once names are resolved: what does the statement read?"""
+    for node, is_plan in _tree(df._jdf.queryExecution().analyzed(), enter=lambda n: _name(n) != "View"):
+        name = _name(node)
+        if is_plan and name not in ANALYSED_LEAVES and not node.children().nonEmpty():
+            return f"{REASON_RELATION}: {name}"
+        if name in REFUSED_EXPRESSIONS or name == "ScriptTransformation":
+            return REASON_NODE + name
+    return None
+
+
+def known_tables(spark: SparkSession) -> set:
+    """The session's temporary views."""
+    return {t.name.lower() for t in spark.catalog.listTables() if t.isTemporary}
+
+
+def run_guarded(spark: SparkSession, text: str | None, max_rows: int = MAX_ROWS, tables: set | None = None,
+                max_seconds: float = MAX_SECONDS) -> GuardedResult:
     """Clean, judge and run one statement.
 
     FAILED statements never run: those that the word rules reject, and those
-    whose parsed plan holds a script call, a command or a file relation.  The
-    others run into a table in the shared folder, at most ``max_rows`` rows, so
-    that a statement that fails at any point reports ERROR with its message and
-    no rows.
+    whose parsed or analysed tree holds anything but a query over ``tables`` (the
+    session's temporary views unless given).  The others run into a table in the
+    shared folder, at most ``max_rows`` rows, so that a statement that fails at any
+    point, or runs for more than ``max_seconds``, reports ERROR with its message
+    and no rows.
     """
     sql, valid, reason = _judge_text(spark, text)
     if not valid:
         return GuardedResult("FAILED", reason, sql, [], None)
+    tag = f"guarded-{uuid.uuid4().hex}"
+    late = threading.Timer(max_seconds, spark.interruptTag, [tag])
     try:
-        refused = refused_plan(spark, sql)
+        known = known_tables(spark) if tables is None else {t.lower() for t in tables}
+        refused = refused_statement(spark, sql, known)
+        if refused:
+            return GuardedResult("FAILED", refused, sql, [], None)
+        df = spark.sql(sql)
+        refused = refused_analysis(df)
         if refused:
             return GuardedResult("FAILED", refused, sql, [], None)
-        df = spark.sql(sql).limit(max_rows)
-        ordered = df.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("place"))
+        # columns may have equal names, which a table cannot
+        named = df.limit(max_rows).toDF(*[f"c{i}" for i in range(len(df.columns))])
+        ordered = named.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("place"))
         path = scratch_path(spark, "guarded")
+        spark.addTag(tag)
+        late.start()
         ordered.coalesce(1).write.parquet(path)
         back = spark.read.schema(ordered.schema).parquet(path).orderBy("place").select("row.*")
-        return GuardedResult("PASSED", REASON_OK, sql, df.columns, back)
+        return GuardedResult("PASSED", REASON_OK, sql, df.columns, back.toDF(*df.columns))
     except Exception as e:  # analysis and run-time failures alike
         return GuardedResult("ERROR", str(e).split("\n")[0], sql, [], None)
+    finally:
+        late.cancel()
+        spark.removeTag(tag)
 
 
 def explanation_rows(df: DataFrame, n: int = PREVIEW_ROWS) -> DataFrame:

@@ -53,10 +53,41 @@ def test_guarded_run_statuses(spark):
                     "SELECT * FROM (MAP id USING 'cat' AS x FROM guard_t)"):
         assert G.run_guarded(spark, refused).status == "FAILED", refused
     assert G.run_guarded(spark, "SELECT transform(array(id), x -> x + 1) AS a FROM guard_t").status == "PASSED"
+    twice = G.run_guarded(spark, "SELECT 1 AS a, 2 AS a")
+    assert twice.status == "PASSED" and twice.columns == ["a", "a"] and [tuple(r) for r in twice.rows.collect()] == [(1, 2)]
     ordered = G.run_guarded(spark, "SELECT id FROM guard_t ORDER BY id DESC")
     assert [r["id"] for r in ordered.rows.collect()] == list(range(249, 149, -1))
 
 
+def test_guard_reads_known_tables_only(spark):
+    """Files, identifiers, functions and tables that are not named as known, at
+    any depth; WITH tables, subqueries and set operations pass."""
+    spark.range(250).createOrReplaceTempView("guard_t")
+    path = "/root/testdata/sf0.001/region.parquet"
+    for sql in (
+        f"SELECT * FROM `org.apache.spark.sql.execution.datasources.parquet.ParquetFileFormat`.`{path}`",
+        f"SELECT * FROM IDENTIFIER('parquet.`{path}`')",
+        f"SELECT id FROM guard_t WHERE id IN (SELECT r_regionkey FROM parquet.`{path}`)",
+        f"SELECT (SELECT max(r_regionkey) FROM parquet.`{path}`) AS x",
+        f"WITH t AS (SELECT * FROM parquet.`{path}`) SELECT * FROM t",
+        f"SELECT * FROM guard_t JOIN LATERAL (SELECT * FROM parquet.`{path}`)",
+        f"SELECT id FROM guard_t UNION SELECT r_regionkey FROM parquet.`{path}`",
+        "SELECT * FROM no_such_table", "SELECT * FROM guard_t, default.guard_t", "SELECT IDENTIFIER('id') FROM guard_t",
+        "SELECT * FROM sql_keywords()",
+    ):
+        assert G.run_guarded(spark, sql).status == "FAILED", sql
+    for sql in (
+        "WITH t AS (SELECT id FROM guard_t), u AS (SELECT * FROM t) SELECT a.id, count(*) OVER (PARTITION BY a.id) n FROM t a JOIN u b ON a.id = b.id ORDER BY 1 LIMIT 3",
+        "SELECT id FROM GUARD_T WHERE id > (SELECT avg(id) FROM guard_t) AND EXISTS (SELECT 1 FROM guard_t) GROUP BY id HAVING count(*) > 0",
+        "SELECT * FROM range(3) UNION ALL SELECT * FROM VALUES (1), (2) AS v(a) EXCEPT SELECT 7",
+        "SELECT a, x FROM (SELECT array(id, 2) AS s, id AS a FROM guard_t) LATERAL VIEW explode(s) AS x",
+    ):
+        assert G.run_guarded(spark, sql).status == "PASSED", (sql, G.run_guarded(spark, sql).reason)
+    assert G.run_guarded(spark, "SELECT id FROM guard_t", tables={"other"}).status == "FAILED"
+    slow = G.run_guarded(spark, "SELECT sum(sqrt(a.id * b.id)) AS s FROM range(10000000) a JOIN range(1000000) b ON a.id <> b.id", max_seconds=2)
+    assert slow.status == "ERROR" and G.run_guarded(spark, "SELECT 1 AS x").status == "PASSED"
+
+
 GROUNDING = [
     ("The answer [Source 2].", ["b"], False, False),
     ("See [Source 10].", ["a", "j"], False, False),  # substring: also cites 1
