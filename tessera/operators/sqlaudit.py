@@ -189,7 +189,7 @@ def run_guarded(spark: SparkSession, text: str | None, max_rows: int = MAX_ROWS,
     if not valid:
         return GuardedResult("FAILED", reason, sql, [], None)
     tag = f"guarded-{uuid.uuid4().hex}"
-    late = threading.Timer(max_seconds, spark.interruptTag, [tag])
+    late = threading.Timer(max_seconds, spark.sparkContext.cancelJobsWithTag, [tag])
     try:
         known = known_tables(spark) if tables is None else {t.lower() for t in tables}
         refused = refused_statement(spark, sql, known)
@@ -203,7 +203,7 @@ def run_guarded(spark: SparkSession, text: str | None, max_rows: int = MAX_ROWS,
         named = df.limit(max_rows).toDF(*[f"c{i}" for i in range(len(df.columns))])
         ordered = named.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("place"))
         path = scratch_path(spark, "guarded")
-        spark.addTag(tag)
+        spark.sparkContext.addJobTag(tag)
         late.start()
         ordered.coalesce(1).write.parquet(path)
         back = spark.read.schema(ordered.schema).parquet(path).orderBy("place").select("row.*")
@@ -212,7 +212,7 @@ def run_guarded(spark: SparkSession, text: str | None, max_rows: int = MAX_ROWS,
         return GuardedResult("ERROR", str(e).split("\n")[0], sql, [], None)
     finally:
         late.cancel()
-        spark.removeTag(tag)
+        spark.sparkContext.removeJobTag(tag)
 
 
 def explanation_rows(df: DataFrame, n: int = PREVIEW_ROWS) -> DataFrame:
