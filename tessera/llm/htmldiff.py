@@ -58,12 +58,35 @@ _NAMES = frozenset(
     "disqus footer masthead search searchbox pagination pager toolbar skip form hidden".split()
 )
 _HEADERS = frozenset(("header", "topbar"))
+# Compound names: a name from above, first, with one of these after it; or, as the
+# last part, one of those that name a place on the page.  Names that only say
+# something about an element ("has-comments", "no-sidebar") stay.
+_HOLDERS = frozenset(
+    "area bar block box button buttons container form group holder inner item items link links list menu notice panel row section slot thread unit widget "
+    "wrap wrapper zone".split()
+)
+_PLACES = frozenset(
+    "ad ads advert advertisement advertising banner breadcrumb breadcrumbs comments cookie cookies footer masthead menu modal nav navbar navigation "
+    "newsletter overlay pagination popup promo sharing sidebar sponsor sponsored toolbar".split()
+)
+_STATES = frozenset("has have no not with without is js show hide".split())
 _TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<({_RAW})(?![\w:-])(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?:/>|>.*?(?:</\1\s*>|$))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[/!?][^>]*>?|<[a-zA-Z][^>]*(?:>|$)", re.S | re.I)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 OPEN, ARTICLE, UNWANTED = 0, 1, 2  # where a line stands
 
 
+def _names_unwanted(name: str, names: frozenset[str]) -> bool:
+    """Does a class or id, whole or compound, stand for one of the names?"""
+    if name in names:
+        return True
+    parts = [x for x in re.split("[-_]+", name) if x]
+    first, rest = parts[:1], parts[1:]
+    if not rest or _STATES & set(parts):
+        return False
+    return (first[0] in names and all(x in names or x in _HOLDERS for x in rest)) or (rest[-1] in names and rest[-1] in _PLACES | _HEADERS)
+
+
 def _unwanted(name: str, attributes: str, in_article: bool) -> bool:
     """Is the element one that holds no main text?"""
     if name in _DROPPED or (name in ("header", "math", "noscript") and not in_article):
@@ -73,8 +96,8 @@ def _unwanted(name: str, attributes: str, in_article: bool) -> bool:
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values).lower()
         if key in ("class", "id"):
-            words = set() if name in _FRAMES else set(value.split())
-            if words & _NAMES or (not in_article and words & _HEADERS):
+            names = _NAMES if in_article else _NAMES | _HEADERS
+            if name not in _FRAMES and any(_names_unwanted(x, names) for x in value.split()):
                 return True
         elif key == "role" and value in _ROLES:
             return True

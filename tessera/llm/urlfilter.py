@@ -37,11 +37,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import col, stored
 
-LONGEST_WORD = 20  # letters of a word in a host name
 FEATURES = 1 << 16
-BLOCK_FROM = 0.95  # score; blocking without a rule needs strong evidence
-SMOOTHING = 0.05  # weight of the overall shares
-MARKED_SHARE = 0.01  # of the blocked class's words that each marked word counts as
+BLOCK_FROM = 0.75  # score; set on one half of the given pages, judged on the other (README)
+SMOOTHING = 5.0  # hosts that every word is given in both classes
+MARKED_HOSTS = 50  # blocked hosts that each marked word counts as
 MARKED = (
     "adult", "bet", "bets", "betting", "casino", "escort", "gambling", "jackpot", "keygen", "lottery", "nude", "nudes", "pharmacy", "pills",
     "poker", "porn", "porno", "replica", "sex", "sexy", "slots", "spam", "torrent", "viagra", "warez", "webcam", "xxx",
@@ -90,7 +89,7 @@ def unigrams(pages: DataFrame, html_col: str) -> DataFrame:
             seen: Counter = Counter()
             for html in batch.column(0):
                 if text := html.as_py():
-                    seen.update(w for w in _LETTERS.findall(_TAG.sub(" ", text).lower()) if len(w) <= LONGEST_WORD)
+                    seen.update(w for w in _LETTERS.findall(_TAG.sub(" ", text).lower()))
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
     return pages.select(col(html_col)).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
@@ -98,18 +97,22 @@ def unigrams(pages: DataFrame, html_col: str) -> DataFrame:
 
 def best_split(letters: str, parts: dict[tuple[int, int], int], total: int) -> list[str]:
     """The most probable words of ``letters``; ``parts``: (start, length) of the
-    known words and their counts.  An unknown part of length n counts as
-    10 / (total * 10**n); of equal splits the one with the longer last word wins."""
+    known words and their counts.  An unknown part of length n, however long,
+    counts as 10 / (total * 10**n); of equal splits the one with the longer last
+    word wins."""
     total = max(total, 1)
+    ending: dict[int, list[tuple[int, float]]] = {}
+    for (start, length), n in parts.items():
+        ending.setdefault(start + length, []).append((start, math.log(n / total)))
+    ten, first = math.log(10), math.log(10 / total)
     best: list[tuple[float, int]] = [(0.0, 0)]
+    unknown = (0.0, 0)  # best place to start an unknown part, with its value there
     for end in range(1, len(letters) + 1):
-        options = []
-        for start in range(max(0, end - LONGEST_WORD), end):
-            n = parts.get((start, end - start))
-            p = math.log(n / total) if n else math.log(10 / total) - (end - start) * math.log(10)
-            options.append((best[start][0] + p, -start))
+        options = [(unknown[0] + first - end * ten, unknown[1])]
+        options += [(best[start][0] + p, -start) for start, p in ending.get(end, ())]
         p, start = max(options)
         best.append((p, -start))
+        unknown = max(unknown, (p + end * ten, -end))
     words, end = [], len(letters)
     while end:
         start = best[end][1]
@@ -120,12 +123,13 @@ def best_split(letters: str, parts: dict[tuple[int, int], int], total: int) -> l
 
 def split_hosts(hosts: DataFrame, counts: DataFrame) -> DataFrame:
     """(host, words): the words of every distinct host."""
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    of_all = counts.agg(F.sum("n").alias("total"), F.max(F.length("word")).alias("longest")).first()
+    total, longest = of_all["total"] or 0, of_all["longest"] or 1
     runs = F.filter(F.split(F.lower("host"), r"[^\p{L}]+"), lambda x: F.length(x) > 0)
     placed = stored(hosts.select("host").distinct().select("host", F.posexplode(runs).alias("place", "run")), "url-runs")
     distinct = placed.select("run").distinct()
     starts = distinct.select("run", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("start"))
-    parts = starts.select("run", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), F.length("run") - F.col("start") + 1))).alias("length"))
+    parts = starts.select("run", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("run") - F.col("start") + 1))).alias("length"))
     parts = parts.select("run", "start", "length", F.substring("run", F.col("start"), F.col("length")).alias("word"))
     known = parts.join(counts, "word").groupBy("run").agg(F.collect_list(F.struct((F.col("start") - 1).alias("start"), "length", "n")).alias("parts"))
 
@@ -154,25 +158,29 @@ def feature(token: Column) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(FEATURES)).cast("int")
 
 
-def fit(labelled: DataFrame) -> list[float]:
-    """Log odds (block against allow) of every feature from ``labelled``
-    (tokens, verdict).  Each class's shares are smoothed with the overall ones, so
-    that a word that neither class has weighs nothing."""
-    token = labelled.select("verdict", F.explode("tokens").alias("t"))
-    rows = token.groupBy(feature(F.col("t")).alias("f")).agg(F.sum((F.col("verdict") == "block").cast("long")).alias("bad"), F.count(F.lit(1)).alias("n")).collect()
+def rule_tokens(rules: list[Rule]) -> list[str]:
+    """The tokens that the rules themselves test, which so say nothing new."""
+    found = {f"h:{w}" for r in rules for w in _LETTERS.findall(r.host.lower())}
+    return sorted(found | {f"p:{w}" for r in rules for w in re.findall(r"[^\W_]+", re.sub("[0-9]+", "0", r.path.lower()))})
+
+
+def fit(labelled: DataFrame, rules: list[Rule]) -> list[float]:
+    """Log odds (block against allow) of every feature from ``labelled`` (host,
+    tokens, verdict).  A word counts once for a host and class, so that a host
+    with very many pages is one piece of evidence; both classes weigh alike, and a
+    word that neither class has weighs nothing."""
+    token = labelled.select("verdict", "host", F.explode(F.array_distinct("tokens")).alias("t")).where(~F.col("t").isin(rule_tokens(rules)))
+    token = token.select("verdict", "host", feature(F.col("t")).alias("f")).distinct()
+    rows = token.groupBy("f").agg(F.sum((F.col("verdict") == "block").cast("long")).alias("bad"), F.count(F.lit(1)).alias("n")).collect()
     bad, good = [0.0] * FEATURES, [0.0] * FEATURES
     for r in rows:
         bad[r["f"]] += r["bad"]
         good[r["f"]] += r["n"] - r["bad"]
-    each = max(1.0, MARKED_SHARE * sum(bad))
+    alike = sum(bad) / sum(good) if sum(bad) and sum(good) else 1.0
     spark = labelled.sparkSession
     for r in spark.createDataFrame([(f"h:{w}",) for w in MARKED], "t string").select(feature(F.col("t")).alias("f")).collect():
-        bad[r["f"]] += each
-    n_bad, n_good = sum(bad), sum(good)
-    if not n_bad or not n_good:
-        return [1.0 * (b > 0) - 1.0 * (g > 0) for b, g in zip(bad, good)]
-    overall = [(b + g + 1) / (n_bad + n_good + FEATURES) for b, g in zip(bad, good)]
-    return [math.log(b / n_bad + SMOOTHING * o) - math.log(g / n_good + SMOOTHING * o) for b, g, o in zip(bad, good, overall)]
+        bad[r["f"]] += MARKED_HOSTS
+    return [math.log(b + SMOOTHING) - math.log(g * alike + SMOOTHING) for b, g in zip(bad, good)]
 
 
 def block_score(tokens: Column, odds: list[float], spark) -> Column:
@@ -185,7 +193,7 @@ def block_score(tokens: Column, odds: list[float], spark) -> Column:
         sums = (sum(table[f] for f in own or ()) for own in features.to_pylist())
         return pa.array([1 / (1 + math.exp(-min(700.0, max(-700.0, s)))) for s in sums], pa.float64())
 
-    return run(F.transform(tokens, feature))
+    return run(F.transform(F.array_distinct(tokens), feature))
 
 
 # ---------------------------------------------------------------- operator
@@ -201,7 +209,7 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     met = stored(urls.join(words, "host", "left").select("id", "host", "path", "rule", "words", tokens), "url-tokens")
     verdict_of = F.create_map(*[x for r in rules for x in (F.lit(r.name), F.lit(r.verdict))]) if rules else F.create_map(F.lit(""), F.lit(""))
     ruled = met.withColumn("verdict", verdict_of[F.col("rule")])
-    odds = fit(ruled.where("verdict IS NOT NULL").select("tokens", "verdict"))
+    odds = fit(ruled.where("verdict IS NOT NULL").select("host", "tokens", "verdict"), rules)
     scored = ruled.withColumn("score", block_score(F.col("tokens"), odds, spark))
     verdict = F.coalesce("verdict", F.when(F.col("score") >= BLOCK_FROM, "block").otherwise("allow"))
     return scored.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), F.coalesce("words", F.array().cast("array<string>")).alias("host_words"), "score")

@@ -79,3 +79,15 @@ def test_whole_texts_stay():
         assert text(frame + "<p>one</p><div class='box ad'>no</div><p>two</p>") == "one\ntwo", frame
     assert text("<article><p>where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><noscript><p>a picture</p></noscript><p>end</p></article>") == "where x=2 holds\na picture\nend"
     assert text("<p>one</p><noscript>no</noscript><p>two</p>") == "one\ntwo"
+
+
+def test_compound_names():
+    gone = ["share-buttons", "cookie-notice", "ad-slot", "comments-list", "site-footer", "main-nav", "comment-form", "left_sidebar", "newsletter-box", "ad", "social_share", "page-header"]
+    stay = ["has-comments", "no-sidebar", "with-ads", "post-has-comments", "long-form", "notice-of-sale", "related-work", "article-body", "share-price-text", "header-1", "-", "_", "share"[:-1]]
+    for name in gone:
+        assert htmldiff.page_lines(f"<body><div class='x {name}'>a</div><p id={name}>b</p><p>c")[-1] == ("c", htmldiff.OPEN), name
+        assert [k for _, k in htmldiff.page_lines(f"<div class='x {name}'>a</div><p id={name}>b</p>")] == [htmldiff.UNWANTED] * 2, name
+    for name in stay:
+        assert [k for _, k in htmldiff.page_lines(f"<div class='x {name}'>a</div><p id={name}>b</p>")] == [htmldiff.OPEN] * 2, name
+    assert htmldiff.page_lines("<article><div class=page-header>a</div></article>") == [("a", htmldiff.ARTICLE)]
+    assert htmldiff.page_lines("<body class='right-sidebar'><article class='post site-footer'>a")[0] == ("a", htmldiff.ARTICLE)

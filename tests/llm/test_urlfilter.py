@@ -4,13 +4,14 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import urlfilter
 from tessera.llm.queries import URL_RULES, op3_url_filter
 
-from .conftest import SF01
+from .conftest import SF01, crc_remainder
 
 
 def plain_parts(url):
@@ -68,27 +69,44 @@ def test_query(spark):
     for host, words in list(split.items())[:40]:
         want = []
         for run in [x for x in re.split(r"[\W\d_]+", host) if x]:
-            parts = {(i, n): counts[run[i : i + n]] for i in range(len(run)) for n in range(1, min(20, len(run) - i) + 1) if run[i : i + n] in counts}
+            parts = {(i, n): counts[run[i : i + n]] for i in range(len(run)) for n in range(1, len(run) - i + 1) if run[i : i + n] in counts}
             want += urlfilter.best_split(run, parts, total)
         assert words == want
-    # the learnt weights and the scores again, by plain counting
-    tokens = [["h:" + w for w in r.host_words] + ["p:" + w for w in re.findall(r"[^\W_]+", re.sub("[0-9]+", "0", r.path.lower()))] for r in got]
-    bad, good = Counter(), Counter()
-    for r, t in zip(got, tokens):
-        if r.rule:
-            (bad if r.verdict == "block" else good).update(map(feature, t))
-    each = max(1.0, urlfilter.MARKED_SHARE * sum(bad.values()))
+    # the learnt weights and the scores again, by plain counting: a word once for a
+    # host and class, and none that the rules test
+    tested = {"h:org", "h:example", "h:com", "p:es", "p:en", "p:0", "p:fr", "p:de"}
+    tokens = [{"h:" + w for w in r.host_words} | {"p:" + w for w in re.findall(r"[^\W_]+", re.sub("[0-9]+", "0", r.path.lower()))} for r in got]
+    seen = {(r.verdict, r.host, feature(x)) for r, t in zip(got, tokens) if r.rule for x in t - tested}
+    bad, good = (Counter(f for v, _, f in seen if v == verdict) for verdict in ("block", "allow"))
+    alike = sum(bad.values()) / sum(good.values())
     for w in urlfilter.MARKED:
-        bad[feature("h:" + w)] += each
-    n_bad, n_good = sum(bad.values()), sum(good.values())
+        bad[feature("h:" + w)] += urlfilter.MARKED_HOSTS
     for r, t in zip(got, tokens):
-        odds = 0.0
-        for f in map(feature, t):
-            overall = urlfilter.SMOOTHING * (bad[f] + good[f] + 1) / (n_bad + n_good + urlfilter.FEATURES)
-            odds += math.log(bad[f] / n_bad + overall) - math.log(good[f] / n_good + overall)
+        odds = sum(math.log(bad[f] + urlfilter.SMOOTHING) - math.log(alike * good[f] + urlfilter.SMOOTHING) for f in map(feature, t))
         assert abs(r.score - 1 / (1 + math.exp(-odds))) < 1e-9
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_verdicts_without_a_rule(spark, sf):
+    """Settings were chosen on the pages of even crc32; the others are judged: every
+    host with a listed word is blocked, and under 1 % of the others."""
+    rows = [r for r in op3_url_filter(spark, f"/root/testdata/{sf}").collect() if r.rule is None and crc_remainder(r.page_id, 2) == 1]
+    marked = [r for r in rows if set(r.host_words) & set(urlfilter.MARKED)]
+    others = [r for r in rows if not set(r.host_words) & set(urlfilter.MARKED)]
+    assert len(marked) > 1 and all(r.verdict == "block" for r in marked)
+    assert sum(r.verdict == "block" for r in others) < 0.01 * len(others)
+
+
+def test_long_words_and_hosts(spark):
+    word = "donaudampfschifffahrtsgesellschaft"
+    assert urlfilter.best_split("die" + word, {(0, 3): 5, (3, len(word)): 2}, 100) == ["die", word]
+    assert urlfilter.best_split("q" * 5000, {}, 100) == ["q" * 5000]
+    urls = [f"http://die{word}.de/x", "http://" + "z" * 3000 + ".de/"]
+    df = spark.createDataFrame([(i, u, f"<p>die {word} ist hier " * 50) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r.page_id: r.host_words for r in urlfilter.judge(df, URL_RULES).collect()}
+    assert got[0][:2] == ["die", word] and got[1][0] == "z" * 3000
+
+
 def feature(token):
     """Spark's xxhash64 (seed 42, signed) modulo the number of features."""
     return int(np.uint64(xxhash.xxh64_intdigest(token.encode(), 42)).astype(np.int64)) % urlfilter.FEATURES
