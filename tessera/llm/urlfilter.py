@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import col, stored
 
 FEATURES = 1 << 16
-BLOCK_FROM = 0.75  # score; set on one half of the given pages, judged on the other (README)
+BLOCK_FROM = 0.75  # score; set on the given pages (README)
 SMOOTHING = 5.0  # hosts that every word is given in both classes
 MARKED_HOSTS = 50  # blocked hosts that each marked word counts as
 MARKED = (
