@@ -29,7 +29,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MEMO_ENTRIES = 200_000  # pre-tokens remembered per Python worker
-BATCH_ROWS = 1000  # documents handed to a Python worker at once
 MEMO_LENGTH = 48  # longer pre-tokens are not remembered
 RUN_CHARS = 1_000_000  # characters of consecutive texts encoded together
 
@@ -170,10 +169,6 @@ class ByteBpe:
         tokens = read_ranks(path)
         if sum(map(len, tokens)) > self.MOST_BYTES:
             raise ValueError(f"{path} is no vocabulary: over {self.MOST_BYTES} bytes")
-        # Spark's default of 10,000 texts and their ids at once is a lot for the two
-        # workers of a task; a batch size that somebody has chosen stays.
-        if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         shared = spark.sparkContext.broadcast(tokens)
         key = f"{path}|{len(tokens)}|{pattern}"
 

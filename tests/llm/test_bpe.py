@@ -53,3 +53,10 @@ def test_unknown_id_is_an_error():
 
 def test_columns(spark):
     assert op1_byte_bpe(spark, SF001).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_session_settings_stay(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    op1_byte_bpe(spark, SF01).count()
+    assert spark.conf.get(name) == before
