@@ -7,15 +7,18 @@ rest; within the family every pair of languages has a machine of its own, and
 the language with the most pairwise support wins.  Families are a parameter; a
 language that it does not name is a family of its own.
 
-Fitting: the driver fits the machines on a sample of at most about
-``FIT_DOCUMENTS`` labelled rows of each language, chosen by a hash of id and
-text; their vectors are computed by the executors and have at most
-``1 << FEATURE_BITS`` entries each.  Prediction covers the whole text of every
-row, with weights whose size does not depend on the corpus.
+Fitting: the driver fits the machines on a sample of about ``FIT_DOCUMENTS``
+labelled rows of each language, chosen by a hash of id and text; copies of a row
+count once, so that their number moves neither the share nor the sample.  The
+vectors are computed by the executors and have at most ``1 << FEATURE_BITS``
+entries each.  Every language is learned: more than ``FIT_LANGUAGES`` of them are
+an error, never a silent choice.  Prediction covers the whole text of every row,
+with weights whose size does not depend on the corpus.
 
 Defined results: a null text, or one without any letter, is ``und`` with score
 0; ties go to the language that sorts first; repeated rows get equal results.
-Without any labelled row to learn from, every text is ``und``.
+Without any labelled row to learn from, every text is ``und``.  Empty tables give
+empty results; other columns, whatever their names, are carried along unread.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from tessera.llm.common import col, packed
 FEATURE_BITS = 13
 ORDERS = (2, 3, 4)  # bytes of an n-gram
 FIT_DOCUMENTS = 500  # of each language, for fitting
-FIT_LANGUAGES = 500  # most languages that the driver fits
+FIT_LANGUAGES = 500  # more are an error, unless the caller allows them
 SHARPNESS = 6.0  # of the logistic curve from margins to scores
 UNKNOWN = "und"
 
@@ -131,25 +134,35 @@ class Model:
             yield name, float(support[i, f]) * votes[name] / (len(names) - 1)
 
 
-def fit_sample(labelled: DataFrame, per_language: int = FIT_DOCUMENTS) -> list[tuple[str, np.ndarray]]:
+def fit_sample(labelled: DataFrame, per_language: int = FIT_DOCUMENTS, most_languages: int = FIT_LANGUAGES) -> list[tuple[str, np.ndarray]]:
     """(language, vector) of the sampled rows of ``labelled`` (id, text, lang)."""
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(FIT_LANGUAGES).collect()
+    labelled = labelled.select("lang", "text", F.xxhash64("id", "text").alias("row"))
+    counts = labelled.select("lang", "row").distinct().groupBy("lang").count().limit(most_languages + 1).collect()
     if not counts:
         return []
-    draw = F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000))
+    if len(counts) > most_languages:
+        raise ValueError(f"over {most_languages} languages: fit fewer at a time, or allow more by most_languages")
+    draw = F.pmod("row", F.lit(1_000_000))
     share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1_000_000, 1 + 1_000_000 * per_language // r["count"])))])
     sample = labelled.withColumn("draw", draw).where(F.col("draw") < share[F.col("lang")])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # of this task: no larger than the sample
         for batch in batches:
-            rows = [(lang, features(text)) for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()) if has_letter(text)]
-            at = [np.flatnonzero(v).astype(np.int16) for _, v in rows]
+            rows = []
+            for lang, row, text in zip(batch.column("lang").to_pylist(), batch.column("row").to_pylist(), batch.column("text")):
+                if (lang, row) not in seen:
+                    seen.add((lang, row))
+                    if has_letter(body := text.as_py()):
+                        rows.append((lang, row, features(body)))
+            at = [np.flatnonzero(v).astype(np.int16) for _, _, v in rows]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.string()), pa.array([a.tobytes() for a in at], pa.binary()), pa.array([v[a].astype(np.float16).tobytes() for (_, v), a in zip(rows, at)], pa.binary())],
-                ["lang", "at", "value"],
+                [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([a.tobytes() for a in at], pa.binary()), pa.array([v[a].astype(np.float16).tobytes() for (_, _, v), a in zip(rows, at)], pa.binary())],
+                ["lang", "row", "at", "value"],
             )
 
-    found = sample.select("lang", "text").mapInArrow(vectors, "lang string, at binary, value binary").collect()
+    found = sample.select("lang", "row", "text").mapInArrow(vectors, "lang string, row long, at binary, value binary")
+    found = found.dropDuplicates(["lang", "row"]).select("lang", "at", "value").collect()
     out = []
     for r in sorted(found):
         v = np.zeros(1 << FEATURE_BITS, np.float32)
@@ -158,11 +171,11 @@ def fit_sample(labelled: DataFrame, per_language: int = FIT_DOCUMENTS) -> list[t
     return out
 
 
-def fit(labelled: DataFrame, families: dict[str, str] | None = None, per_language: int = FIT_DOCUMENTS) -> Model:
+def fit(labelled: DataFrame, families: dict[str, str] | None = None, per_language: int = FIT_DOCUMENTS, most_languages: int = FIT_LANGUAGES) -> Model:
     """Model from ``labelled`` (id, text, lang); rows without text or lang are skipped."""
     family_of = FAMILIES if families is None else families
     usable = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sample = fit_sample(usable, per_language)
+    sample = fit_sample(usable, per_language, most_languages)
     languages: dict[str, list[str]] = {}
     for lang in sorted({lang for lang, _ in sample}):
         languages.setdefault(family_of.get(lang, lang), []).append(lang)

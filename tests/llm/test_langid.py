@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import langid
@@ -57,3 +58,21 @@ def test_nothing_to_learn_from_keeps_letters(spark):
     df = spark.createDataFrame([(1, "hello"), (2, "123 !"), (3, None), (4, "日本")], "doc_id long, text string")
     none = df.selectExpr("doc_id AS id", "text", "CAST(NULL AS string) AS lang")
     assert [r.doc_id for r in langid.keep_known(df, none).orderBy("doc_id").collect()] == [1, 4]
+
+
+def test_copies_of_a_row_count_once(spark):
+    """A row that makes up most of the table, ids missing among them."""
+    many = [(1, "das ist ein haus", "de")] * 3000 + [(None, "the cat sat", "en")] * 500 + [(i, f"the house number {i}", "en") for i in range(9)]
+    labelled = spark.createDataFrame(many, "id long, text string, lang string").repartition(7)
+    sample = langid.fit_sample(labelled, per_language=50)
+    assert sorted(lang for lang, _ in sample) == ["de"] + ["en"] * 10
+    model = langid.fit(labelled)
+    assert [p[0] for p in model.predict(["das haus", "the house"])] == ["de", "en"]
+
+
+def test_no_language_is_left_out_silently(spark):
+    rows = [(i, f"{chr(97 + i % 26) * 3} {chr(97 + i // 26) * 4}", f"l{i:03}") for i in range(501)]
+    labelled = spark.createDataFrame(rows, "id long, text string, lang string")
+    with pytest.raises(ValueError, match="over 500 languages"):
+        langid.fit_sample(labelled)
+    assert len({lang for lang, _ in langid.fit_sample(labelled, most_languages=501)}) == 501
