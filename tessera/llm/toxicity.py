@@ -12,17 +12,19 @@ The marginals make the document's score (a logistic curve over their sum, their
 maximum and the length, fitted on the sample's documents), and runs of tokens
 with a marginal of one half or more are the offending offsets.
 
-Fitting: about ``FIT_DOCUMENTS`` ids of each label, with texts of at most
-``FIT_CHARS`` characters, go to the driver; about ``STAT_DOCUMENTS`` ids of each
-label are counted by the executors.  Both are chosen by a hash of the id and are
-documented bounds of the fit; scoring covers everything.  The sampled ids are
-broadcast after their number is checked.  The weights are ``1 << FEATURE_BITS``
-numbers whatever the corpus.
+Fitting: at most ``FIT_DOCUMENTS`` ids of each label, with one text of at most
+``FIT_CHARS`` characters for each (of an id with several texts the one whose hash
+is smallest), go to the driver; the rows of at most ``STAT_DOCUMENTS`` ids of each
+label are counted by the executors.  Both are the ids with the smallest hashes and
+documented bounds of the fit; scoring covers everything.  The sampled ids, no more
+than twice ``STAT_DOCUMENTS``, are broadcast.  The weights are
+``1 << FEATURE_BITS`` numbers whatever the corpus.
 
 Defined results: null, empty and wordless texts score like a document without
 any toxic token; repeated rows score alike; repeated labels of one id count as
 toxic if one of them is.  If either label is missing from the sample there is
-nothing to learn, and every score is 0.
+nothing to learn, and every score is 0.  Empty tables give empty results; other
+columns, whatever their names, are carried along unread.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import byte_words, col, packed
@@ -278,20 +280,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     for which ``learn``, a condition on column ``id``, holds."""
     one = labels.select(col(id_col).alias("id"), col(toxic_col).cast("int").alias("toxic")).where(learn & F.col("toxic").isin(0, 1))
     one = one.groupBy("id").agg(F.max("toxic").alias("toxic"))
-    counts = {r["toxic"]: r["count"] for r in one.groupBy("toxic").count().collect()}
     empty = Model(np.zeros(1 << FEATURE_BITS, np.float32), 0.0, np.zeros((2, 2)), None)
-    if not counts.get(0) or not counts.get(1):
-        return empty
-    draw = F.pmod(F.xxhash64("id"), F.lit(1_000_000))
-
-    def share(n: int) -> Column:
-        return F.when(F.col("toxic") == 1, 1 + 1_000_000 * n // counts[1]).otherwise(1 + 1_000_000 * n // counts[0])
-
-    ids = one.select("id", "toxic", (draw < share(FIT_DOCUMENTS)).alias("fit")).where(draw < share(STAT_DOCUMENTS))
-    if ids.count() <= 4 * STAT_DOCUMENTS:
-        ids = F.broadcast(ids)
+    drawn = one.withColumn("draw", F.xxhash64("id"))
+    lowest = [drawn.where(F.col("toxic") == label).orderBy("draw", "id").limit(STAT_DOCUMENTS) for label in (0, 1)]
+    place = F.row_number().over(Window.partitionBy("toxic").orderBy("draw", "id"))
+    # a few ten thousand ids at most, by the limits above
+    ids = F.broadcast(lowest[0].unionByName(lowest[1]).select("id", "toxic", (place <= FIT_DOCUMENTS).alias("fit")))
     sample = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).where("text IS NOT NULL").join(ids, "id")
-    rows = sample.where(F.col("fit") & (F.length("text") <= FIT_CHARS)).select("toxic", "text").collect()
+    own = sample.where(F.col("fit") & (F.length("text") <= FIT_CHARS)).groupBy("id", "toxic")
+    rows = own.agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("toxic", "text").collect()
     documents = sorted((r["toxic"], byte_words(r["text"])) for r in rows)
     if len({label for label, _ in documents}) < 2:
         return empty

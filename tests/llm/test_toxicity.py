@@ -78,3 +78,16 @@ def test_offsets_with_capitals():
         at = toxicity.offsets(text, np.arange(len(words)) == i)
         assert [text[x["start"] : x["end"]].encode().translate(WORD_TABLE) for x in at] == [w]
     assert toxicity.offsets(text, np.array([w == b"scum" for w in words])) == [{"start": 15, "end": 19}, {"start": 28, "end": 32}]
+
+
+def test_one_id_with_a_third_of_the_rows(spark, docs):
+    """Copies and versions of one drawn id: one text of it is learned from."""
+    labels = spark.read.parquet(f"{SF01}/labels.parquet")
+    plain = docs.select("doc_id", "text")
+    hot = plain.where("doc_id = 0").crossJoin(spark.range(plain.count() // 2).withColumnRenamed("id", "copy"))
+    hot = hot.select("doc_id", F.concat("text", F.lit(" "), (F.col("copy") % 3).cast("string")).alias("text"))
+    model = toxicity.fit(plain.where("doc_id <> 0").unionByName(hot), labels, F.lit(True))
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    got = plain.select("doc_id", toxicity.tag(F.col("text"), model, spark).alias("f")).collect()
+    wrong = [r.doc_id for r in got if r.doc_id in truth and (r.f.score >= 0.7) != (truth[r.doc_id] == 1)]
+    assert len(wrong) <= 0.05 * len(got)
