@@ -89,7 +89,7 @@ FAMILIES = (
     ("cc-by-sa", " cc by ", r"cc by sa(?: [1-4] 0)?"),
     ("cc-by-4.0", " cc by ", r"cc by 4 0"),
     ("cc-by-3.0", " cc by ", r"cc by 3 0"),
-    ("creative-commons", " creative commons ", r"creative commons(?: attribution)?(?: (?:non ?commercial|share ?alike|no ?derivatives|no ?derivs))*(?: [1-4] 0)?(?: international| unported)?"),
+    ("creative-commons", " creative commons ", r"creative commons(?: attribution)?(?: (?:non ?commercial|share ?alike|no ?derivatives|no ?derivs)){0,6}(?: [1-4] 0)?(?: international| unported)?"),
     ("ms-pl", " microsoft public ", r"microsoft public"),
     ("ms-pl", " ms pl ", r"ms pl"),
     ("proprietary", " proprietary ", r"proprietary(?: and confidential)?"),

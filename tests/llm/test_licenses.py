@@ -103,3 +103,9 @@ def test_prefilters_lose_nothing(spark, docs, monkeypatch):
         assert g == plain(text), text[:200]
     for (text, label), g in zip(PLAIN_NOTICES, got):
         assert label in g[5].split(","), text
+
+
+def test_no_match_is_longer_than_what_is_read():
+    """The scan reads LONGEST characters from a place on: every rule is narrower."""
+    widths = [re._parser.parse(r.expression).getwidth()[1] for r in licenses.rules()]
+    assert max(widths) < licenses.LONGEST
