@@ -8,7 +8,9 @@ prefiltered by keywords: a rule runs only if its keyword occurs, and no text is
 scanned that holds none of them (``GATES``).  Every text that a rule matches
 holds its keyword, so the prefilter changes no result.  Bare names that are also
 everyday words or names of software (``ALSO_WORDS``; "mit" is German for "with")
-are a rule only beside a word of ``CONTEXT`` somewhere in the text.
+are a rule only beside a word of ``CONTEXT`` somewhere in the text.  License texts
+that name no license are known by the wording of their grants, conditions and
+disclaimers (``CLAUSES``).
 
 All rules that are left look for the places where one of them matches, from left
 to right.  At a place every matching rule gives a detection, an interval of
@@ -23,7 +25,9 @@ A detection is held in a state whose size depends on the rules, not on the text,
 so that a text of any length with any number of notices is scanned in one go.
 
 Defined results: null, empty and wordless texts have no words, no places (first
-and last null) and score 0; repeated rows get equal results.
+and last null) and score 0; repeated rows get equal results; an empty table gives
+an empty result; columns beside the id and the text are not read, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -92,7 +96,7 @@ FAMILIES = (
     ("creative-commons", " creative commons ", r"creative commons(?: attribution)?(?: (?:non ?commercial|share ?alike|no ?derivatives|no ?derivs)){0,6}(?: [1-4] 0)?(?: international| unported)?"),
     ("ms-pl", " microsoft public ", r"microsoft public"),
     ("ms-pl", " ms pl ", r"ms pl"),
-    ("proprietary", " proprietary ", r"proprietary(?: and confidential)?"),
+    ("proprietary", " proprietary ", r"proprietary"),
 )
 
 BARE = r"{n}"
@@ -106,7 +110,7 @@ TEMPLATES = (
     (4, 0.5, BARE, ""),
 )
 
-ALSO_WORDS = ("mit", "expat", "x11|mit x11", "isc", "bsd", "zlib(?: libpng)?", "postgresql")
+ALSO_WORDS = ("mit", "expat", "x11|mit x11", "isc", "bsd", "zlib(?: libpng)?", "postgresql", "proprietary")
 CONTEXT = ("licen", "copyright", "copyleft", "rights reserved", "public domain", "cc by", "cc0", "spdx", "general public", "creative commons", "gpl", "without warrant")
 
 # Notices of no one family: label, keyword, priority, confidence, expression.
@@ -118,6 +122,49 @@ NOTICES = (
     ("no-warranty", " without warrant", 2, 0.6, r"without warrant(?:y|ies)(?: or conditions)? of any kind"),
     ("as-is", " as is ", 2, 0.6, r"(?:provided|distributed) (?:on an )?as is(?: basis)?"),
     ("no-redistribution", " permission ", 2, 0.7, r"(?:no part|may not be reproduced)[a-z ]{0,80} without (?:the )?(?:prior )?(?:written )?permission"),
+    ("proprietary", " proprietary ", 2, 0.8, r"proprietary and confidential|confidential and proprietary|proprietary (?:software|source code|rights)"),
+)
+
+_FSF = r"as published by the free software foundation either version"
+_LATER = r"(?: of the licen[sc]e)? or(?: at your option)? any later version"
+_ANY = r"[a-z0-9 ]{1,80}"
+# Wording of license texts, fixed values: label, words that every match holds, priority, confidence, expression.
+CLAUSES = (
+    ("mit", " hereby granted free of charge ", 1, 0.95, r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("mit", " this permission notice ", 2, 0.8, r"above copyright notice and this permission notice(?: including the next paragraph)? shall be included in all copies or substantial portions of the software"),
+    ("x11", " except as contained in this notice ", 1, 0.95, rf"except as contained in this notice the names? of {_ANY} shall not be used in advertising"),
+    ("ofl-1.1", " hereby granted free of charge ", 1, 0.95, r"permission is hereby granted free of charge to any person obtaining a copy of the font software"),
+    ("bsl-1.0", " hereby granted free of charge ", 1, 0.95, r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("isc", " with or without fee ", 1, 0.95, r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("postgresql", " without a written agreement ", 1, 0.95, r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("bsd", " redistribution and use ", 1, 0.9, r"redistribution and use(?: of this software)? in source and binary forms with or without modification are permitted"),
+    ("bsd-3-clause", " to endorse or promote ", 1, 0.95, rf"neither the names? of {_ANY} nor the names of (?:its|their) contributors may be used to endorse or promote products"),
+    ("bsd-4-clause", " all advertising materials ", 1, 0.95, r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("retain-notice", " must retain the above copyright ", 3, 0.7, r"redistributions? of source code must retain the above copyright notice"),
+    ("retain-notice", " must reproduce the above copyright ", 3, 0.7, r"redistributions? in binary form must reproduce the above copyright notice"),
+    ("apache-2.0", " no charge royalty free irrevocable ", 1, 0.95, r"each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable (?:copyright|except as stated in this section patent) licen[sc]e"),
+    ("apache-2.0", " agreed to in writing software ", 2, 0.8, r"unless required by applicable law or agreed to in writing software distributed under the licen[sc]e is distributed on an as is basis"),
+    ("apache-1.1", " the end user documentation ", 2, 0.8, r"the end user documentation included with the redistribution if any must include the following acknowledge?ment"),
+    ("gpl-2.0-or-later", " any later version ", 0, 1.0, rf"(?:gnu )?general public licen[sc]e {_FSF} 2{_LATER}"),
+    ("gpl-3.0-or-later", " any later version ", 0, 1.0, rf"(?:gnu )?general public licen[sc]e {_FSF} 3{_LATER}"),
+    ("lgpl-2.1-or-later", " any later version ", 0, 1.0, rf"(?:gnu )?lesser general public licen[sc]e {_FSF} 2 1{_LATER}"),
+    ("lgpl-3.0-or-later", " any later version ", 0, 1.0, rf"(?:gnu )?lesser general public licen[sc]e {_FSF} 3{_LATER}"),
+    ("agpl-3.0-or-later", " any later version ", 0, 1.0, rf"(?:gnu )?affero general public licen[sc]e {_FSF} 3{_LATER}"),
+    ("free-software", " is free software you can redistribute it ", 3, 0.7, r"(?:this )?(?:program|library|software|file|it) is free software you can redistribute it and or modify it"),
+    ("no-warranty", " without any warranty ", 2, 0.6, r"without any warranty without even the implied warranty of merchantability"),
+    ("no-warranty", " express or implied warrant", 2, 0.6, r"any express or implied warrant(?:y|ies)"),
+    ("no-liability", " in no event ", 2, 0.6, rf"in no event (?:shall|will) {_ANY} be (?:held )?liable for any"),
+    ("mpl-2.0", " source code form is subject to ", 1, 0.95, r"this source code form is subject to the terms of the mozilla public licen[sc]e v ?2 0"),
+    ("mpl-1.1", " the contents of this file are subject to ", 1, 0.95, r"the contents of this file are subject to the mozilla public licen[sc]e version 1 1"),
+    ("epl", " accompanying program ", 1, 0.9, r"the accompanying program is provided under the terms of this eclipse public licen[sc]e"),
+    ("unlicense", " free and unencumbered ", 1, 0.95, r"this is free and unencumbered software released into the public domain"),
+    ("zlib", " must not be misrepresented ", 1, 0.9, r"the origin of this software must not be misrepresented"),
+    ("cc0-1.0", " associated a work with this deed ", 1, 0.95, r"the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("cc0-1.0", " unconditionally waives ", 1, 0.9, r"overtly fully permanently irrevocably and unconditionally waives"),
+    ("creative-commons", " creative commons ", 1, 0.95, r"(?:this|the) work is licen[sc]ed under a creative commons(?: (?:attribution|non ?commercial|share ?alike|no ?derivatives)){0,4}(?: [1-4] 0)?(?: international| unported)? licen[sc]e"),
+    ("creative-commons", " exercising the licensed rights ", 1, 0.9, r"by exercising the licensed rights(?: defined below)? you accept and agree to be bound"),
+    ("python-2.0", " psf hereby grants ", 1, 0.95, r"psf hereby grants licensee a nonexclusive royalty free world wide licen[sc]e"),
+    ("noncommercial", "commercial use only ", 2, 0.6, r"for (?:personal )?(?:and )?non ?commercial use only"),
 )
 
 
@@ -141,7 +188,7 @@ def rules() -> list[Rule]:
                 out += [Rule(word, label, p, c, name, True) for word in CONTEXT]
             else:
                 out.append(Rule(keyword, label, p, c, wording.format(n=name), needs=needs))
-    out += [Rule(keyword, label, p, c, expression) for label, keyword, p, c, expression in NOTICES]
+    out += [Rule(keyword, label, p, c, expression) for label, keyword, p, c, expression in NOTICES + CLAUSES]
     return sorted(out, key=lambda r: r.priority)
 
 

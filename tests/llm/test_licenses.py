@@ -26,9 +26,10 @@ def plain(text):
     if any(g in body for g in licenses.GATES):
         begins = [0] + [m.end() for m in re.finditer(" ", body)][:-1]
         begins = sorted({m.end() for m in re.finditer(" ", body[:-1])})
+        own = [(k, r) for k, r in enumerate(licenses.rules()) if r.keyword in body]
         for n, at in enumerate(begins):
-            for k, r in enumerate(licenses.rules()):
-                if r.keyword in body and (m := re.compile(f"(?:{r.expression})(?= )").match(body, at)):
+            for k, r in own:
+                if (m := re.compile(f"(?:{r.expression})(?= )").match(body, at)):
                     found.append((n, r.priority, -len(m[0]), k, n + m[0].count(" ") + 1, r))
     kept, seen = [], []
     for n, p, _, _, end, r in sorted(found, key=lambda d: d[:4]):
@@ -84,7 +85,7 @@ def test_no_python_in_the_plan(spark):
 
 # Notices in which the words of the old prefilters do not occur, and others.
 PLAIN_NOTICES = [
-    ("released under the WTFPL", "wtfpl"), ("distributed under CDDL", "cddl-1.0"), ("provided on an as is basis", "as-is"), ("proprietary and confidential", "proprietary"),
+    ("released under the WTFPL", "wtfpl"), ("distributed under CDDL", "cddl-1.0"), ("provided on an as is basis", "as-is"), ("proprietary and confidential", "proprietary"), ("proprietary medicine is sold", ""), ("our own proprietary license", "proprietary"),
     ("may not be reproduced in any form without prior written permission", "no-redistribution"), ("no part of it without the permission", "no-redistribution"),
     ("common development and distribution license", "cddl-1.0"), ("CDDLv1.1", "cddl-1.0"), ("released under the expat license", "mit"), ("Ms-PL", "ms-pl"), ("Microsoft Public License", "ms-pl"),
     ("without warranties of any kind", "no-warranty"), ("published under GNU GPL", "gpl"), ("available under GPLv2", "gpl-2.0"), ("subject to the Apache2.0", "apache-2.0"),
@@ -94,7 +95,7 @@ PLAIN_NOTICES = [
 
 
 def test_prefilters_lose_nothing(spark, docs, monkeypatch):
-    texts = [t for t, _ in PLAIN_NOTICES] + NOTICES + [r.text for r in docs.orderBy("doc_id").limit(4).collect()]
+    texts = [t for t, _ in PLAIN_NOTICES] + NOTICES + [t for t, _ in TEXTS] + [r.text for r in docs.orderBy("doc_id").limit(4).collect()]
     got = rows(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
     every = [r if r.beside else replace(r, keyword="") for r in licenses.rules()]
     monkeypatch.setattr(licenses, "GATES", ("",))
@@ -109,3 +110,40 @@ def test_no_match_is_longer_than_what_is_read():
     """The scan reads LONGEST characters from a place on: every rule is narrower."""
     widths = [re._parser.parse(r.expression).getwidth()[1] for r in licenses.rules()]
     assert max(widths) < licenses.LONGEST
+
+
+# The wording of license texts that need not name their license.
+TEXTS = [
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal", "mit"),
+    ("The above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.", "mit"),
+    ("THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM", "no-liability"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that", "isc"),
+    ("Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that", "bsd"),
+    ("Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived", "bsd-3-clause"),
+    ("3. All advertising materials mentioning features or use of this software must display the following acknowledgement:", "bsd-4-clause"),
+    ("1. Redistributions of source code must retain the above copyright notice, this list", "retain-notice"),
+    ("each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce", "apache-2.0"),
+    ("Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS", "apache-2.0"),
+    ("under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "gpl-2.0-or-later"),
+    ("the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version", "lgpl-3.0-or-later"),
+    ("This program is free software; you can redistribute it and/or modify it", "free-software"),
+    ("but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY", "no-warranty"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2.0"),
+    ("This is free and unencumbered software released into the public domain.", "unlicense"),
+    ("The origin of this software must not be misrepresented; you must not claim", "zlib"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "creative-commons"),
+    ("By exercising the Licensed Rights (defined below), You accept and agree to be bound by", "creative-commons"),
+    ("for personal and non-commercial use only", "noncommercial"),
+]
+
+
+def test_license_texts_are_known_by_their_wording(spark):
+    long = " word " * 300 + " ".join(t for t, _ in TEXTS) + " word" * 300
+    texts = [t for t, _ in TEXTS] + [long, long + long]
+    got = rows(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert got == [plain(t) for t in texts]
+    for (text, label), g in zip(TEXTS, got):
+        assert label in g[5].split(","), text
+    assert {label for _, label in TEXTS} <= set(got[-1][5].split(","))
+    # the longer notice holds the shorter one, which goes
+    assert "gpl-2.0" not in got[10][5].split(",")
