@@ -54,13 +54,13 @@ def text_folder(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunk_store(spark: SparkSession, sf: str) -> DataFrame:
-    """The chunk collection refreshed in full (partitioned by source) and
-    read back."""
+    """The chunk collection refreshed in full, twice (partitioned by source),
+    and its current version read back."""
     path = scratch_path(spark, "chunk-store")
     chunks = chunk_documents(Tables(spark, sf).documents)
-    S.write_table(chunks, path, partition_by=["source"])
-    S.write_table(chunks, path, partition_by=["source"])  # full refresh
-    back = spark.read.schema(chunks.schema).parquet(path)  # no inferred partition types
+    S.refresh_table(chunks, path, partition_by=["source"])
+    S.refresh_table(chunks, path, partition_by=["source"])  # full refresh
+    back = S.read_refreshed(spark, path, chunks.schema)
     return back.select("chunk_id", "doc_id", "source", "chunk", "text")
 
 

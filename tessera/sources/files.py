@@ -6,6 +6,9 @@ explicit path is given): never a machine-local temp folder on a cluster.
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,6 +57,52 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     w.parquet(path)
 
 
+class EmptyCollection(ValueError):
+    """The collection was never written, or holds no rows."""
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """Name of the version that readers of ``path`` get (one row is read)."""
+    try:
+        names = spark.read.schema("value string").text(f"{path}/versions")
+        return names.agg(F.max("value")).head()[0]
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def refresh_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
+    """A full refresh that readers see as a whole or not at all.
+
+    The rows go to a version folder of their own; when they are all there, its
+    name is added to ``versions``.  A refresh that fails, or is still running,
+    changes nothing for readers, and a reader keeps the version it resolved.
+    Of two refreshes at once the one with the greater name stays.  Returns the
+    version's name."""
+    spark = df.sparkSession
+    last = current_version(spark, path)
+    version = f"{int(last.split('-')[0]) + 1 if last else 1:012d}-{uuid.uuid4().hex}"
+    w = df.write.mode("error")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(f"{path}/data/{version}")
+    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("append").text(f"{path}/versions")
+    return version
+
+
+def read_refreshed(spark: SparkSession, path: str, schema: T.StructType, require_rows: bool = False) -> DataFrame:
+    """The collection's current version.  Never written: EmptyCollection.
+    ``require_rows``: also where it holds no rows (S7, one row is read)."""
+    version = current_version(spark, path)
+    if version is None:
+        raise EmptyCollection(f"{path} was never written")
+    df = spark.read.schema(schema).parquet(f"{path}/data/{version}")  # no inferred partition types
+    if require_rows and is_empty(df):
+        raise EmptyCollection(f"{path} holds no rows")
+    return df
+
+
 def append_jsonl(df: DataFrame, path: str) -> None:
     """Append one JSON line per row."""
     df.write.mode("append").json(path)
