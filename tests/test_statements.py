@@ -51,3 +51,19 @@ def test_row_limit_and_empty_table(spark, sales):
     assert run_statements(spark, df.limit(0)).collect() == []
     with pytest.raises(ValueError, match="clash"):
         run_statements(spark, df.withColumn("status", F.lit(1)))
+
+
+def test_the_judge_stands_once_in_every_plan(spark, sales, monkeypatch):
+    """A filter pushed below it repeated its expressions until the driver's heap was full."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    plans, parquet = [], DataFrameWriter.parquet
+
+    def noted(self, path, *args, **kw):
+        plans.append(self._df._jdf.queryExecution().optimizedPlan().toString().count("RLIKE"))
+        return parquet(self, path, *args, **kw)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    df = spark.createDataFrame([(i, f"SELECT * FROM sales WHERE id = {i}") for i in range(3)], "k int, sql string")
+    assert [r["n_rows"] for r in run_statements(spark, df).orderBy("k").collect()] == [0, 1, 1]
+    assert plans and max(plans) < 100
