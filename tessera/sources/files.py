@@ -6,8 +6,12 @@ explicit path is given): never a machine-local temp folder on a cluster.
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +28,11 @@ CALL_LOG_SCHEMA = T.StructType([
     T.StructField("malformed", T.StringType()),
 ])
 
+_LISTED = pa.schema([("filename", pa.string()), ("file", pa.string())])
+_READ = pa.schema([("filename", pa.string()), ("value", pa.binary())])
+#: Bytes of file contents that a reading task gathers before it hands them on.
+READ_BYTES = 16 << 20
+
 
 def read_text_folder(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """Every ``*.txt`` directly inside ``path`` (not recursive), one row
@@ -34,17 +43,96 @@ def read_text_folder(spark: SparkSession, path: str, recursive: bool = False) ->
         "filename")
 
 
+def _files_uri(spark: SparkSession, path: str) -> str | None:
+    """``path`` as the URI by which tasks open files of their own through
+    ``pyarrow.fs``; None where that does not know the store or lacks its library."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toUri().toASCIIString()
+    try:
+        fs.FileSystem.from_uri(uri)
+    except (pa.ArrowInvalid, OSError):
+        return None
+    return uri
+
+
+def _disk_name(name: str | None) -> str:
+    """A document's name as one file name: what has a meaning in paths, or would
+    hide the file, becomes %XX."""
+    if name is None:
+        return "__HIVE_DEFAULT_PARTITION__"
+    return re.sub(r"^[._]|[\x00-\x1f\x7f\"#%'*/:=?\\{\[\]^]", lambda m: f"%{ord(m[0]):02X}", name)
+
+
 def write_documents_as_files(docs: DataFrame, path: str, filename="filename", text="text") -> None:
-    """One text file per document (full refresh).  Spark names its own files,
-    so each document gets a ``filename=<name>`` folder holding one file."""
-    docs.select(filename, text).write.mode("overwrite").partitionBy(filename).text(path)
+    """One text file per document (full refresh), under the document's name.
+
+    Each task writes its documents into a folder of its own below
+    ``path/_documents``; what Spark writes to ``path`` is the list of their names
+    and files.  A task's part of the list is committed once, so files of attempts
+    that failed or ran twice are not listed, and not read.  Rows of one name in a
+    task share a file, a line end after each.
+
+    Where only Spark can write to the store, each document gets a
+    ``filename=<name>`` folder holding one file."""
+    uri = _files_uri(docs.sparkSession, path)
+    if uri is None:
+        docs.select(filename, text).write.mode("overwrite").partitionBy(filename).text(path)
+        return
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(uri)
+        folder, last, out = f"_documents/{uuid.uuid4().hex}", None, None
+        try:
+            for batch in batches:
+                listed = []
+                for name, value in ((a.as_py(), b.as_py()) for a, b in zip(*batch.columns, strict=True)):
+                    if out is None:
+                        store.create_dir(f"{root}/{folder}")
+                    if out is None or name != last:
+                        if out is not None:
+                            out.close()
+                        file = f"{folder}/{_disk_name(name)}"
+                        last, out = name, store.open_output_stream(f"{root}/{file}")
+                        listed.append({"filename": name, "file": file})
+                    out.write((value or b"") + b"\n")
+                yield pa.RecordBatch.from_pylist(listed, _LISTED)
+        finally:
+            if out is not None:
+                out.close()
+
+    name = F.nullif(F.make_valid_utf8(F.col(filename)), F.lit(""))
+    rows = docs.select(name.alias("filename"), F.col(text).cast("binary").alias("text"))
+    # equal names in a row: a task has one file open
+    listed = rows.sortWithinPartitions("filename").mapInArrow(write, "filename string, file string")
+    listed.write.mode("overwrite").parquet(path)
 
 
 def read_documents_from_files(spark: SparkSession, path: str) -> DataFrame:
     """Inverse of ``write_documents_as_files``; the writer's line separator
     after each value is removed again."""
-    # an explicit schema: inferred partition values would turn "007" into 7
-    df = spark.read.schema("value string, filename string").text(path, wholetext=True)
+    uri = _files_uri(spark, path)
+    if uri is None:
+        # an explicit schema: inferred partition values would turn "007" into 7
+        df = spark.read.schema("value string, filename string").text(path, wholetext=True)
+    else:
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            store, root = fs.FileSystem.from_uri(uri)
+            rows, size = [], 0
+            for batch in batches:
+                for r in batch.to_pylist():
+                    with store.open_input_file(f"{root}/{r['file']}") as f:
+                        rows.append({"filename": r["filename"], "value": f.read()})
+                    size += len(rows[-1]["value"])
+                    if size >= READ_BYTES:
+                        yield pa.RecordBatch.from_pylist(rows, _READ)
+                        rows, size = [], 0
+            yield pa.RecordBatch.from_pylist(rows, _READ)
+
+        # the list is short where the files are long: their number deals them out
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        listed = spark.read.schema("filename string, file string").parquet(path).repartition(tasks, "file")
+        df = listed.mapInArrow(read, "filename string, value binary").withColumn("value", F.col("value").cast("string"))
     return df.select("filename",
                      F.regexp_replace("value", r"\n\z", "").alias("text"))
 

@@ -59,6 +59,37 @@ def test_file_names_are_not_retyped(spark, tmp_path):
         map(tuple, df.collect()))
 
 
+def test_documents_take_a_file_each_and_no_folder(spark, tmp_path):
+    names = [f"doc {i}" for i in range(200)] + ["a/b", "..", "_c", ".d", "e%2Ff", "g=ü.txt", "__HIVE_DEFAULT_PARTITION__"]
+    rows = [(n, f"text of {n}\r\n\n") for n in names] + [("h", None), ("i", ""), (None, "nameless"), ("large", "x\n" * (9 << 20))]
+    path = tmp_path / "d"
+    S.write_documents_as_files(spark.createDataFrame([("gone", "x")], "filename string, text string"), str(path))
+    S.write_documents_as_files(spark.createDataFrame(rows, "filename string, text string").repartition(4), str(path))
+    found = [(folder, f) for folder, _, files in os.walk(path / "_documents") for f in files]
+    assert len(found) == len(rows) and len({folder for folder, _ in found}) <= 4
+    assert "doc 7" in {f for _, f in found}
+    (path / "_documents" / "0").mkdir()  # of an attempt that failed
+    (path / "_documents" / "0" / "doc 7").write_text("half")
+    back = S.read_documents_from_files(spark, str(path)).collect()
+    assert sorted(map(str, map(tuple, back))) == sorted(str((n, t or "")) for n, t in rows)
+
+
+def test_rows_of_one_name_and_task_share_a_file(spark, tmp_path):
+    rows = [("a", "1"), ("b", "2"), ("a", "3"), (None, "4"), ("", "5")]
+    S.write_documents_as_files(spark.createDataFrame(rows, "filename string, text string").coalesce(1), str(tmp_path / "d"))
+    back = S.read_documents_from_files(spark, str(tmp_path / "d")).collect()
+    assert {tuple(r) for r in back} == {("a", "1\n3"), ("b", "2"), (None, "4\n5")}
+
+
+def test_documents_in_a_store_that_only_spark_opens(spark, tmp_path):
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.files.link./in", f"file://{tmp_path}")
+    rows = [("a", "1"), ("b/c", "2\n"), ("d", None)]
+    for _ in range(2):
+        S.write_documents_as_files(spark.createDataFrame(rows, "filename string, text string"), "viewfs://files/in/d")
+    back = S.read_documents_from_files(spark, "viewfs://files/in/d").collect()
+    assert sorted(map(tuple, back)) == [("a", "1"), ("b/c", "2\n"), ("d", "")]
+
+
 def test_redelivered_document_replaces_its_chunks(spark, tmp_path):
     from tessera.streaming import jobs as X
 
